@@ -27,13 +27,15 @@ POOL = 1024
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words in a shingle; bands of `rows` samples each; threshold: weighted Jaccard similarity of a link; floor:
-    what the commonest shingle weighs against the rarest; leaders: rounds of comparisons with one node of each band."""
+    """shingle: words in a shingle; bands of `rows` samples each; threshold: weighted Jaccard similarity of a link; plain: that
+    of the sets without weights links as well; floor: what the commonest shingle weighs against the rarest; leaders: rounds
+    of comparisons with one node of each band."""
 
     shingle: int = 5
     bands: int = 14
     rows: int = 4
     threshold: float = 0.8
+    plain: bool = True
     floor: float = 0.8
     leaders: int = 2
     seed: int = 7
@@ -140,18 +142,19 @@ def _vectors(shingle: int):
     return run
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two weighted sets: sorted hashes and their weights."""
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Of two weighted sets (sorted hashes and their weights): their weighted similarity, and that of the sets alone."""
     if len(b[0]) < len(a[0]):
         a, b = b, a
-    at = np.minimum(np.searchsorted(b[0], a[0]), max(len(b[0]) - 1, 0))
-    same = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
-    both = float(np.minimum(a[1][same], b[1][at[same]]).sum())
-    union = float(a[1].sum() + b[1].sum()) - both
-    return both / union if union else 0.0
+    if not len(a[0]):
+        return 0.0, 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    both, n = float(np.minimum(a[1][same], b[1][at[same]]).sum()), int(same.sum())
+    return both / (float(a[1].sum() + b[1].sum()) - both), n / (len(a[0]) + len(b[0]) - n)
 
 
-def _verify(shared, threshold: float):
+def _verify(shared, settings: Settings):
     def vector(hashes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
         h = np.frombuffer(hashes, np.uint64)
         return h, weights_of(h, np.frombuffer(times, np.uint32), shared.value).astype(np.float64)
@@ -161,21 +164,21 @@ def _verify(shared, threshold: float):
             keep, found = [], []
             h1, t1, h2, t2 = (batch.column(c) for c in ("h1", "t1", "h2", "t2"))
             for k in range(batch.num_rows):
-                sim = weighted_jaccard(vector(h1[k].as_py(), t1[k].as_py()), vector(h2[k].as_py(), t2[k].as_py()))
-                if sim >= threshold:
+                weighted, plain = weighted_jaccard(vector(h1[k].as_py(), t1[k].as_py()), vector(h2[k].as_py(), t2[k].as_py()))
+                if weighted >= settings.threshold or (settings.plain and plain >= settings.threshold):
                     keep.append(k)
-                    found.append(sim)
+                    found.append(weighted)
             rows = batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "v": rows.column("v"), "similarity": pa.array(found, pa.float64())})
 
     return run
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, shared, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, shared, settings: Settings) -> DataFrame:
     """The pairs (u, v) whose texts are similar enough, with their similarity."""
     first = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("h1"), F.col("times").alias("t1"))
     second = vectors.select(F.col("node").alias("v"), F.col("hashes").alias("h2"), F.col("times").alias("t2"))
-    return staged(pairs.join(first, "u").join(second, "v").mapInArrow(_verify(shared, threshold), "u binary, v binary, similarity double"), "verified")
+    return staged(pairs.join(first, "u").join(second, "v").mapInArrow(_verify(shared, settings), "u binary, v binary, similarity double"), "verified")
 
 
 def _open_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
             pairs = one.join(two, "band").where((F.col("p") != F.col("q")) & (F.col("u") < F.col("v"))).select("u", "v")
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = staged(ordered.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = _links(fresh, vectors, shared, settings.threshold)
+        found = _links(fresh, vectors, shared, settings)
         tried, links = tried.unionByName(fresh), links.unionByName(found)
         parts = connected_components(links.select("u", "v"))
         if turn < settings.leaders:
