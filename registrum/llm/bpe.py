@@ -72,15 +72,16 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes with one rank file; keeps the results for short pre-tokens, at most `keep` of them."""
+    """Encodes and decodes with one rank file; keeps the results for short pre-tokens, between `keep` and twice that many of
+    those met last."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000):
+    def __init__(self, path: str, pattern: str, keep: int = 250_000):
         self.ranks = load_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern)
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older = keep, {}, {}
 
     def encode_pieces(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str]]:
         """Ids of each pre-token, and the same in decimal, joined by commas."""
@@ -88,11 +89,14 @@ class Codec:
         for p in pieces:
             got = known.get(p)
             if got is None:
-                ids = tuple(merge_piece(p.encode(), self.ranks))
-                got = ids, ",".join(map(str, ids))
+                got = self.older.get(p)
+                if got is None:
+                    ids = tuple(merge_piece(p.encode(), self.ranks))
+                    got = ids, ",".join(map(str, ids))
                 if len(p) <= 64:
                     if len(known) >= self.keep:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[p] = got
             out.append(got)
         return out
@@ -116,9 +120,19 @@ class Codec:
         return [c for k, c in enumerate(found) if not k or found[k - 1] <= len(chunk) - LOOK]
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec_for(path: str, pattern: str) -> Codec:
+    """One codec for all tasks of a Python worker."""
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
+
+
 def _short(path: str, pattern: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = codec_for(path, pattern)
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
                 yield _encoded(codec, part.column("key"), part.column("text").to_pylist(), with_ids)
@@ -146,7 +160,7 @@ def _cut_chunks(path: str, pattern: str, size: int):
     """Cuts and encoded pre-tokens of each chunk; which of the cuts hold for the text is for the stitch to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = codec_for(path, pattern)
         for batch in batches:
             for row in batch.to_pylist():
                 text, start = row["text"], row["chunk"] * size
@@ -179,9 +193,7 @@ def join_chunks(chunks: list[dict]) -> list[int] | None:
 
 def _stitched(path: str, pattern: str, size: int, with_ids: bool):
     def run(table: pa.Table) -> pa.Table:
-        if (path, pattern) not in _codecs:
-            _codecs[path, pattern] = Codec(path, pattern)
-        codec, chunks = _codecs[path, pattern], sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        codec, chunks = codec_for(path, pattern), sorted(table.to_pylist(), key=lambda r: r["chunk"])
         ids = join_chunks(chunks)
         if ids is None:  # a pre-token outgrows the overlap: the text is put together again and split as a whole
             bodies = [codec.decode(c["ids"]).decode() + c["rest"] for c in chunks]
@@ -191,9 +203,6 @@ def _stitched(path: str, pattern: str, size: int, with_ids: bool):
     return run
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids, decoded, ids_sha256, decoded_sha256) of every row of docs: its text encoded by the ranks at
     `path`, pre-tokens by `pattern`, and the bytes that the ids decode to.
