@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import staged
+from registrum.llm._shared import bounded, staged
 
-#: A word: letters and digits of ASCII and everything beyond it. Upper-case A-Z is folded before, or counted as it is.
-WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word: letters and digits of ASCII and everything beyond it, that is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z is folded. Said
+#: by what it holds: Java takes ten times as long over the negated ranges.
+WORD, WORD_ANY_CASE = r"[0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 
@@ -46,10 +47,11 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
 
 
 def build_index(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text") -> PositionalIndex:
-    """The index of whole texts over the terms (column term). Whether the terms are broadcast is left to the planner, which
-    checks their size."""
-    found = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), F.posexplode(words(docs[text])).alias("pos", "term"))
-    postings = staged(found.join(terms.select("term").distinct(), "term").select("doc_id", "text_key", "pos", "term"), "postings")
+    """The index of whole texts over the terms (column term), which are broadcast if they are few enough."""
+    # hashed before the words are dealt out: above the generator the hash would be taken again for every word
+    keyed = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("body"))
+    found = keyed.select("doc_id", "text_key", F.posexplode(words(F.col("body"))).alias("pos", "term"))
+    postings = staged(found.join(bounded(staged(terms.select("term").distinct(), "terms")), "term").select("doc_id", "text_key", "pos", "term"), "postings")
     return PositionalIndex(postings, staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("freq")), "frequency"))
 
 
@@ -60,35 +62,30 @@ def item_windows(items: DataFrame, *, key: str = "item_id", text: str = "text",
     return listed.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), F.lit(width)).alias("terms")).distinct()
 
 
-def phrase_matches(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
+def phrase_matches(index: PositionalIndex, phrases: DataFrame, anchors: int = 2) -> DataFrame:
     """(doc_id, text_key, item_id, start, width): every place where a phrase (item_id, terms) occurs word for word.
 
-    Phrases with a term that no document has cannot occur. Candidates come from each phrase's rarest term alone (first offset
-    on ties); the other terms' lists are then intersected at their offsets, over documents with a candidate.
+    Phrases with a term that no document has cannot occur. The offset-adjusted lists of each phrase's rarest terms (`anchors` of
+    them; first offset on ties) are intersected first; what is left is intersected with the lists of its other terms, over the
+    documents that still have a candidate.
     """
     numbered = phrases.select("item_id", "terms", F.xxhash64("terms").alias("phrase"))
-    placed = numbered.select("phrase", "terms", F.posexplode("terms").alias("off", "term")).distinct().join(index.frequency, "term", "left")
-    plan = (
-        placed.groupBy("phrase", "terms")
-        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), F.col("off"), F.col("term"))).alias("rarest"))
-        .where(F.col("rarest.freq") > 0)
-        .select("phrase", "terms", F.col("rarest.off").alias("off"), F.col("rarest.term").alias("term"))
-    )
-    starts = (
-        index.postings.join(plan, "term")
-        .withColumn("start", F.col("pos") - F.col("off"))
-        .where(F.col("start") >= 0)
-        .select("doc_id", "text_key", "phrase", "start", "terms")
-        .distinct()
-    )
-    starts = staged(starts, "starts")
-    holders = staged(starts.select("doc_id", "text_key").distinct(), "holders")
-    lists = index.postings.join(holders, _same_doc(index.postings, holders), "left_semi").distinct()
-    needed = starts.select("doc_id", "text_key", "phrase", "start", F.size("terms").alias("width"), F.posexplode("terms").alias("off", "term"))
-    needed = needed.withColumn("pos", F.col("start") + F.col("off"))
-    met = needed.join(lists, _same_doc(needed, lists) & (needed["pos"] == lists["pos"]) & (needed["term"] == lists["term"]), "left_semi")
-    whole = met.groupBy("doc_id", "text_key", "phrase", "start", "width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("width"))
-    return whole.join(numbered.select("phrase", "item_id").distinct(), "phrase").select("doc_id", "text_key", "item_id", "start", "width")
+    placed = numbered.select("phrase", F.size("terms").alias("width"), F.posexplode("terms").alias("off", "term")).distinct().join(index.frequency, "term", "left")
+    ranked = placed.groupBy("phrase", "width").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "off", "term"))).alias("found"))
+    ranked = ranked.where(F.col("found")[0]["freq"] > 0).select("phrase", "width", F.posexplode("found").alias("rank", "f")).select("phrase", "width", "rank", "f.off", "f.term")
+    plan = staged(ranked, "plan")
+
+    first = bounded(staged(plan.where(F.col("rank") < anchors), "anchors"))
+    lists = index.postings.join(first, "term").withColumn("start", F.col("pos") - F.col("off")).where(F.col("start") >= 0)
+    met = F.bit_or(F.expr("shiftleft(1, rank)")) == F.expr(f"shiftleft(1, least(width, {anchors})) - 1")
+    starts = staged(lists.groupBy("doc_id", "text_key", "phrase", "start", "width").agg(met.alias("met")).where("met").drop("met"), "starts")
+
+    holders = bounded(staged(starts.select("doc_id", "text_key").distinct(), "holders"))
+    held = index.postings.join(holders, _same_doc(index.postings, holders), "left_semi")
+    needed = starts.join(bounded(plan.drop("width")), "phrase").withColumn("pos", F.col("start") + F.col("off"))
+    there = needed.join(held, _same_doc(needed, held) & (needed["pos"] == held["pos"]) & (needed["term"] == held["term"]), "left_semi")
+    whole = there.groupBy("doc_id", "text_key", "phrase", "start", "width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("width"))
+    return whole.join(bounded(staged(numbered.select("phrase", "item_id").distinct(), "phrases")), "phrase").select("doc_id", "text_key", "item_id", "start", "width")
 
 
 def proximity_matches(index: PositionalIndex, pairs: DataFrame, within: int) -> DataFrame:

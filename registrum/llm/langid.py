@@ -48,19 +48,27 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """langs; log-probabilities of n-grams by language, for n-grams unseen; scripts of each language."""
+    """langs; number of each n-gram, and by number its log-probability in each language (the last: that of any other n-gram);
+    scripts: which languages are written in each."""
 
     langs: list[str]
-    scores: dict[str, np.ndarray]
-    unseen: np.ndarray
+    numbers: dict[str, int]
+    scores: np.ndarray
     scripts: dict[str, np.ndarray]
 
-    def word(self, word: str) -> np.ndarray:
-        """Score of each language; languages that aren't written in the word's script are barred, unless all are."""
-        found = [self.scores.get(g, self.unseen) for g in grams(word)]
-        total = np.sum(found, axis=0) * (4.0 / (4 + len(found)))
-        allowed = self.scripts.get(script_of(word[0]))
-        return total if allowed is None else np.where(allowed, total, total + BARRED)
+    def words(self, listed: list[str]) -> np.ndarray:
+        """Scores of each word (not empty) in each language; languages that aren't written in the word's script are barred."""
+        other, get = len(self.numbers), self.numbers.get
+        found = [[get(g, other) for g in grams(w)] for w in listed]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((k for ks in found for k in ks), np.int64, int(sizes.sum()))
+        total = np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0) * (4.0 / (4 + sizes))[:, None]
+        allowed = np.ones(total.shape, bool)
+        for k, w in enumerate(listed):
+            own = self.scripts.get(script_of(w[0]))
+            if own is not None:
+                allowed[k] = own
+        return np.where(allowed, total, total + BARRED).astype(np.float32)
 
 
 def fit(samples: list[tuple[str, str]], keep: int = GRAMS) -> Model:
@@ -78,11 +86,11 @@ def fit(samples: list[tuple[str, str]], keep: int = GRAMS) -> Model:
     for lang, size in zip(langs, sizes, strict=True):
         total.update({g: n / size for g, n in counts[lang].items()})
     kept = sorted(total, key=lambda g: (-total[g], g))[:keep]
-    scores = {g: np.array([math.log((counts[x][g] + 0.5) / (size + 0.5 * keep)) for x, size in zip(langs, sizes, strict=True)], np.float32) for g in kept}
-    unseen = np.array([math.log(0.5 / (size + 0.5 * keep)) for size in sizes], np.float32)
-    unseen = np.full(len(langs), unseen.mean() if len(langs) else 0, np.float32)
+    scores = np.array([[math.log((counts[x][g] + 0.5) / (size + 0.5 * keep)) for x, size in zip(langs, sizes, strict=True)] for g in kept], np.float32).reshape(len(kept), len(langs))
+    unseen = float(np.mean([math.log(0.5 / (size + 0.5 * keep)) for size in sizes])) if sizes else 0.0
+    scores = np.concatenate([scores, np.full((1, len(langs)), unseen, np.float32)])
     scripts = {s: np.array([letters[x][s] >= 0.02 * sum(letters[x].values()) for x in langs]) for s in {s for c in letters.values() for s in c}}
-    return Model(langs, scores, unseen, {s: a for s, a in scripts.items() if a.any()})
+    return Model(langs, {g: k for k, g in enumerate(kept)}, scores, {s: a for s, a in scripts.items() if a.any()})
 
 
 def learn(docs: DataFrame, *, per_lang: int = DOCS_PER_LANG, keep: int = GRAMS) -> Model:
@@ -138,47 +146,37 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
 
 
 class Tagger:
+    """Labels texts; keeps the scores of at least the last `keep` different words. Row 0 stands for what has no letters."""
+
     def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep = model, keep
-        self._clear()
-
-    def _clear(self):
         self.known: dict[str, int] = {}
-        self.table = np.zeros((4096, len(self.model.langs)), np.float32)
-
-    def _id(self, word: str) -> int:
-        if not word[0].isalpha():
-            word = "".join(c for c in word if c.isalpha())
-        if not word:
-            return -1
-        k = self.known.get(word)
-        if k is None:
-            k = len(self.known)
-            if k == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.model.word(word)
-            self.known[word] = k
-        return k
+        self.table = np.zeros((1, len(model.langs)), np.float32)
+
+    def _learn(self, listed: list[list[str]]) -> None:
+        if len(self.known) > self.keep:
+            self.known, self.table = {}, self.table[:1]
+        new = list(set().union(*listed).difference(self.known))
+        shapes = [w if w[0].isalpha() else "".join(c for c in w if c.isalpha()) for w in new]
+        scored = [w for w in dict.fromkeys(shapes) if w]
+        rows = {w: k for k, w in enumerate(scored, len(self.table))}
+        if scored:
+            self.table = np.concatenate([self.table, self.model.words(scored)])
+        self.known.update((w, rows.get(shape, 0)) for w, shape in zip(new, shapes, strict=True))
 
     def tag(self, texts: list[str | None], with_spans: bool) -> list[tuple[str, float, str]]:
         """(language, share of letters in it, spans) of each text."""
-        if len(self.known) > self.keep:
-            self._clear()
         if not self.model.langs:
             return [("und", 0.0, "")] * len(texts)
-        found, sizes = [], []
-        for text in texts:
-            listed = _WORD.findall(lowered(text)) if text else []
-            ids = np.array([self.known.get(w) if w in self.known else self._id(w) for w in listed], np.int64)
-            found.append(ids)
-            sizes.append(np.fromiter(map(len, listed), np.int64, len(listed)))
-        ids, weights = np.concatenate([*found, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
-        counts = np.array([len(x) for x in found])
-        scores = self.table[np.maximum(ids, 0)]
-        scores[ids < 0] = 0
-        labels, out, at = viterbi(scores, counts), [], 0
+        listed = [_WORD.findall(lowered(text)) if text else [] for text in texts]
+        self._learn(listed)
+        known, total = self.known, sum(map(len, listed))
+        ids = np.fromiter((k for words in listed for k in map(known.__getitem__, words)), np.int64, total)
+        weights = np.fromiter((n for words in listed for n in map(len, words)), np.int64, total)
+        counts = np.array([len(words) for words in listed])
+        labels, out, at = viterbi(self.table[ids], counts), [], 0
         for text, c in zip(texts, counts, strict=True):
-            part, w = labels[at : at + c], np.where(ids[at : at + c] < 0, 0, weights[at : at + c])
+            part, w = labels[at : at + c], np.where(ids[at : at + c] == 0, 0, weights[at : at + c])
             at += c
             total = int(w.sum())
             if not total:
