@@ -3,8 +3,9 @@ weighted Jaccard similarity.
 
 Texts that are equal are one node from the start. A node's shingles of five words weigh their count times an inverse
 document frequency; the frequencies of all documents are kept in a table of fixed size by hash. Nodes that share a band are
-compared: first with the most connected node of the band, and what is still apart after some such rounds with each other, so
-that no link between different texts within a band is lost while large groups cost few comparisons.
+compared: first with the most connected node of the band, then, in bands that are still of several components, with each
+other in blocks that follow the links as they find them. So no link between different texts within a band is lost, while a
+large group makes about as many rows as it has nodes.
 """
 
 import zlib
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import staged
+from registrum.llm._shared import bounded, staged
 from registrum.llm.components import connected_components
 from registrum.llm.wordhash import mix, shingle_sets
 
@@ -28,8 +29,9 @@ POOL = 1024
 @dataclass(frozen=True)
 class Settings:
     """shingle: words in a shingle; bands of `rows` samples each; threshold: weighted Jaccard similarity of a link; plain: that
-    of the sets without weights links as well; floor: what the commonest shingle weighs against the rarest; leaders: rounds
-    of comparisons with one node of each band."""
+    of the sets without weights links as well; floor: what the commonest shingle weighs against the rarest; block: nodes of
+    a band that are compared with as many others in one go; agree: the least share of equal samples with which two nodes of a
+    block are verified (of two texts at the threshold, 2 in 10,000 have fewer)."""
 
     shingle: int = 5
     bands: int = 14
@@ -37,7 +39,8 @@ class Settings:
     threshold: float = 0.8
     plain: bool = True
     floor: float = 0.8
-    leaders: int = 2
+    block: int = 512
+    agree: float = 0.6
     seed: int = 7
 
 
@@ -95,27 +98,30 @@ class Sampler:
         self.r1, self.r2, self.beta = gamma().astype(np.float32), gamma().astype(np.float32), draw.random((n, POOL)).astype(np.float32)
         self.log_c = np.log(gamma() + gamma()).astype(np.float32)
 
-    def bands_of(self, bounds: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A row of band hashes for each set; sets without shingles have rows of no meaning."""
+    def samples(self, bounds: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A row of samples for each set; those of sets without shingles are 0."""
         low = np.uint64(POOL - 1)
         i1, i2, i3, i4 = ((hashes >> np.uint64(s) & low).astype(np.int32) for s in (0, 10, 20, 30))
         log_w, full = np.log(weights.astype(np.float64)).astype(np.float32), np.flatnonzero(np.diff(bounds))
         starts = bounds[:-1][full]
-        out = np.zeros((len(bounds) - 1, self.bands), np.uint64)
-        for band in range(self.bands):
-            h = np.full(len(full), band + 1, np.uint64)
-            for k in range(band * self.rows, (band + 1) * self.rows):
+        out = np.zeros((self.bands * self.rows, len(bounds) - 1), np.uint32)
+        if len(starts):
+            for k in range(len(out)):
                 r, b = self.r1[k].take(i1) + self.r2[k].take(i2), self.beta[k].take(i3)
                 t = np.floor(log_w / r + b)
-                a = self.log_c[k].take(i4) - r * (t - b + np.float32(1))
-                if len(starts):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(a, starts).view(np.uint32))
-            out[full, band] = h
+                out[k, full] = np.minimum.reduceat(self.log_c[k].take(i4) - r * (t - b + np.float32(1)), starts).view(np.uint32)
+        return np.ascontiguousarray(out.T)
+
+    def band_hashes(self, samples: np.ndarray) -> np.ndarray:
+        out = np.tile(np.arange(1, self.bands + 1, dtype=np.uint64), (len(samples), 1))
+        for k in range(self.rows):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + samples[:, k :: self.rows])
         return out.view(np.int64)
 
 
 def weights_of(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    """A shingle's count weighs by its logarithm, so that one pair of words said a hundred times does not outweigh a text."""
+    return (1 + np.log(counts)) * idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
 
 
 def _sign(shared, settings: Settings):
@@ -123,7 +129,7 @@ def _sign(shared, settings: Settings):
         sampler = Sampler(settings)
         for batch in batches:
             for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle, 512):
-                found = sampler.bands_of(bounds, hashes, weights_of(hashes, counts, shared.value))
+                found = sampler.band_hashes(sampler.samples(bounds, hashes, weights_of(hashes, counts, shared.value)))
                 full = np.diff(bounds) > 0
                 values = [row.tolist() if ok else [] for row, ok in zip(found, full, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(full)), "node": batch.column("node").slice(at, len(full)), "bands": pa.array(values, pa.list_(pa.int64()))})
@@ -131,13 +137,29 @@ def _sign(shared, settings: Settings):
     return run
 
 
-def _vectors(shingle: int):
+def pack(hashes: np.ndarray) -> bytes:
+    """48-bit hashes in 6 bytes each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+VECTOR = "node binary, hashes binary, times binary, samples binary"
+
+
+def _vectors(shared, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(settings)
         for batch in batches:
-            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), shingle):
-                packed = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                times = [counts[a:b].astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(at, len(packed)), "hashes": pa.array(packed, pa.binary()), "times": pa.array(times, pa.binary())})
+            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle, 512):
+                spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+                samples = sampler.samples(bounds, hashes, weights_of(hashes, counts, shared.value))
+                columns = {"hashes": [pack(hashes[a:b]) for a, b in spans], "times": [counts[a:b].astype(np.uint32).tobytes() for a, b in spans], "samples": [row.tobytes() for row in samples]}
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(at, len(spans))} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
     return run
 
@@ -154,38 +176,130 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (float(a[1].sum() + b[1].sum()) - both), n / (len(a[0]) + len(b[0]) - n)
 
 
-def _verify(shared, settings: Settings):
-    def vector(hashes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-        h = np.frombuffer(hashes, np.uint64)
-        return h, weights_of(h, np.frombuffer(times, np.uint32), shared.value).astype(np.float64)
+class Verifier:
+    """Tells whether two packed vectors are a link, and their weighted similarity."""
+
+    def __init__(self, idf: np.ndarray, settings: Settings):
+        self.idf, self.settings = idf, settings
+
+    def vector(self, hashes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+        h = unpack(hashes)
+        return h, weights_of(h, np.frombuffer(times, np.uint32), self.idf).astype(np.float64)
+
+    def link(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float | None:
+        weighted, plain = weighted_jaccard(a, b)
+        return weighted if weighted >= self.settings.threshold or (self.settings.plain and plain >= self.settings.threshold) else None
 
+
+LINK = "u binary, v binary, similarity double"
+
+
+def _link_rows(found: list[tuple[bytes, bytes, float]]) -> pa.RecordBatch:
+    u, v, sim = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "similarity": pa.array(sim, pa.float64())})
+
+
+def _verify(shared, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verifier = Verifier(shared.value, settings)
         for batch in batches:
-            keep, found = [], []
-            h1, t1, h2, t2 = (batch.column(c) for c in ("h1", "t1", "h2", "t2"))
+            found = []
+            u, v, h1, t1, h2, t2 = (batch.column(c) for c in ("u", "v", "h1", "t1", "h2", "t2"))
             for k in range(batch.num_rows):
-                weighted, plain = weighted_jaccard(vector(h1[k].as_py(), t1[k].as_py()), vector(h2[k].as_py(), t2[k].as_py()))
-                if weighted >= settings.threshold or (settings.plain and plain >= settings.threshold):
-                    keep.append(k)
-                    found.append(weighted)
-            rows = batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "v": rows.column("v"), "similarity": pa.array(found, pa.float64())})
+                sim = verifier.link(verifier.vector(h1[k].as_py(), t1[k].as_py()), verifier.vector(h2[k].as_py(), t2[k].as_py()))
+                if sim is not None:
+                    found.append((u[k].as_py(), v[k].as_py(), sim))
+            yield _link_rows(found)
+
+    return run
+
+
+class _Sets:
+    """Disjoint sets of what is hashable."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        root = x
+        while (above := self.up.get(root, root)) != root:
+            root = above
+        while x != root:
+            self.up[x], x = root, self.up.get(x, x)
+        return root
+
+    def join(self, a, b) -> None:
+        self.up[self.find(a)] = self.find(b)
+
+
+def block_links(rows: list[dict], verifier: Verifier, agree: float) -> list[tuple[bytes, bytes, float]]:
+    """Links that join the components of a pair of blocks. Nodes of the first are held against those of the second (the same, if
+    there is but one); pairs that are already of one component are passed over, those with most equal samples come first."""
+    one = [r for r in rows if r["side"] != 1]
+    two = [r for r in rows if r["side"] != 0]
+    if not one or not two:
+        return []
+    a, b = (np.frombuffer(b"".join(r["samples"] for r in part), np.uint32).reshape(len(part), -1) for part in (one, two))
+    equal = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        equal += a[:, k, None] == b[None, :, k]
+    i, j = np.nonzero(equal >= agree * a.shape[1])
+    sets, vectors, found = _Sets(), {}, []
+
+    def vector(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        if r["node"] not in vectors:
+            vectors[r["node"]] = verifier.vector(r["hashes"], r["times"])
+        return vectors[r["node"]]
+
+    for k in np.argsort(-equal[i, j].astype(np.int32), kind="stable"):
+        x, y = one[i[k]], two[j[k]]
+        if sets.find(x["part"]) == sets.find(y["part"]):
+            continue
+        sim = verifier.link(vector(x), vector(y))
+        if sim is not None:
+            sets.join(x["part"], y["part"])
+            found.append((x["node"], y["node"], sim))
+    return found
+
+
+def _blocks_verified(shared, settings: Settings):
+    """Takes rows sorted by (band, lo, hi), a pair of blocks after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verifier, rows, now = Verifier(shared.value, settings), [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["band"], row["lo"], row["hi"]
+                if key != now:
+                    yield _link_rows(block_links(rows, verifier, settings.agree))
+                    rows, now = [], key
+                rows.append(row)
+        yield _link_rows(block_links(rows, verifier, settings.agree))
 
     return run
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, shared, settings: Settings) -> DataFrame:
-    """The pairs (u, v) whose texts are similar enough, with their similarity."""
+def _leader_links(members: DataFrame, vectors: DataFrame, shared, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links of all nodes of a band with its most connected one, and the leaders (band, node)."""
+    lead = members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("lead")).select("band", F.col("lead.node").alias("v"))
+    pairs = members.join(lead, "band").where(F.col("node") != F.col("v")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    pairs = bounded(staged(pairs.distinct(), "pairs"))
     first = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("h1"), F.col("times").alias("t1"))
     second = vectors.select(F.col("node").alias("v"), F.col("hashes").alias("h2"), F.col("times").alias("t2"))
-    return staged(pairs.join(first, "u").join(second, "v").mapInArrow(_verify(shared, settings), "u binary, v binary, similarity double"), "verified")
+    found = first.join(pairs, "u").join(second, "v").mapInArrow(_verify(shared, settings), LINK)
+    return staged(found, "verified"), lead.withColumnRenamed("v", "node")
 
 
-def _open_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members (band, node, weight) of bands whose nodes aren't all of one component, with their component."""
-    known = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    apart = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-    return known.join(apart, "band")
+def _block_links(members: DataFrame, vectors: DataFrame, shared, settings: Settings) -> DataFrame:
+    """Links between the components (part) of the nodes of each band. A band of n nodes is dealt into blocks, and each node goes
+    to every pair of blocks with its own: n * n / block rows, and as many links as components are joined."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(settings.block)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
+    dealt = dealt.select("node", "band", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
+    rows = dealt.join(vectors, "node").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return staged(rows.mapInArrow(_blocks_verified(shared, settings), LINK), "verified")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -210,31 +324,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
     members = staged(members.join(centre, "node").select("band", "node", "weight"), "members")
 
     holders = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
-    texts = rows.join(staged(holders, "holders"), ["doc_id", "node"], "left_semi").select("node", "text")
-    vectors = staged(texts.mapInArrow(_vectors(settings.shingle), "node binary, hashes binary, times binary").dropDuplicates(["node"]), "vectors")
-
-    links = spark.createDataFrame([], "u binary, v binary, similarity double")
-    tried = spark.createDataFrame([], "u binary, v binary")
-    parts = spark.createDataFrame([], "node binary, component binary")
-    left = members.withColumn("part", F.col("node"))
-    for turn in range(settings.leaders + 1):
-        if turn < settings.leaders:
-            # the most connected node of each band, of those that have not led it yet
-            lead = left.groupBy("band").agg(F.max(F.struct("weight", "node", "part")).alias("lead")).select("band", F.col("lead.node").alias("v"), F.col("lead.part").alias("other"))
-            pairs = left.join(lead, "band").where(F.col("part") != F.col("other")).select(F.col("node").alias("u"), "v")
-        else:
-            one, two = (left.select("band", F.col("node").alias(a), F.col("part").alias(b)) for a, b in (("u", "p"), ("v", "q")))
-            pairs = one.join(two, "band").where((F.col("p") != F.col("q")) & (F.col("u") < F.col("v"))).select("u", "v")
-        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = staged(ordered.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = _links(fresh, vectors, shared, settings)
-        tried, links = tried.unionByName(fresh), links.unionByName(found)
-        parts = connected_components(links.select("u", "v"))
-        if turn < settings.leaders:
-            done = lead.select("band", F.col("v").alias("node"))
-            left = staged(_open_pairs(left.drop("part").join(done, ["band", "node"], "left_anti"), parts), "open")
-            if left.isEmpty():
-                break
+    texts = rows.join(bounded(staged(holders, "holders")), ["doc_id", "node"], "left_semi").select("node", "text")
+    vectors = staged(texts.mapInArrow(_vectors(shared, settings), VECTOR).dropDuplicates(["node"]), "vectors")
+
+    links, lead = _leader_links(members, vectors, shared, settings)
+    parts = connected_components(links.select("u", "v"))
+    # bands whose nodes, without the leader that all have been held against, aren't of one component
+    left = members.join(lead, ["band", "node"], "left_anti").join(parts, "node", "left")
+    left = staged(left.select("band", "node", F.coalesce("component", "node").alias("part")), "left")
+    apart = left.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
+    more = _block_links(left.join(apart, "band"), vectors, shared, settings)
+    links = links.unionByName(more)
+    parts = connected_components(links.select("u", "v"))
 
     nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"))
