@@ -1,4 +1,461 @@
 """Queries over the driver's tables, and the SQL that each must equal."""
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from registrum.functions import identifiers as I
+from registrum.functions import numeric as N
+from registrum.functions import text as T
+from registrum.operators import entities as E
+from registrum.operators import evaluate as V
+from registrum.operators import index as X
+from registrum.operators import match as M
+from registrum.operators import publish as P
+from registrum.plans import tables
+from registrum.plans.tables import table
+from registrum.streaming import sessions as S
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+TYPED = ("cold widget", "cold wid", "hot", "widget", "small gear", "smal gear", "gaer large", "red", "blue bolt", "blu", "large", "gear of", "the bolt", "new pipe", "old", "green valve", "valve", "wdiget", "bolt red", "metal")
+CODES = ("529900GRZ2BQY5ZM9N49", "HWUPKR0MPOU8FGXBT394", "HWUPKR0MPOU8FGXBT395", "US92204Q1031", "US0378331005", "US0378331006", "PLING0100027", "LBTCUS44XXX", "ERICSSON", "ERICQQON", "LBTCUS44X", "5299 00GR Z2BQ Y5ZM 9N49", "Sony Corp", "TEER SE SS XXX", "556016-0680", "HRB 86891", "SC123456", "12345", "Fund 2021", "AB1234", "")
+COUNTRIES = ["US", "SE", "CS", "DE", "GB", "FR", "NL"]
+NAMES = ("Skandinaviska Enskilda Banken AB (publ)", "BP P.L.C.", "SAS AB", "AB", "Acme GmbH & Co. KG", "Royal Bank of Canada", "International Business Machines Corporation", "The Hongkong and Shanghai Banking Corporation Limited", "AT&T", "Coca-Cola", "L M Ericsson", "H & M", "a b c d", "3M Company", "Deutsche Bank AG")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _typed(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(TYPED)), "qid int, query string")
+    return rows.select("qid", "query", T.query_tokens(F.col("query")).alias("tokens"), T.last_is_prefix(F.col("query")).alias("in_progress"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_STOP = ", ".join(f"'{w}'" for w in "the of and de du des la le les der die das und et y for in van von di del da do a an".split())
+_TYPED_SQL = f"""
+typed AS (SELECT qid, string_split(query, ' ') AS tokens FROM (VALUES {_values(enumerate(TYPED))}) v(qid, query)),
+q AS (SELECT qid, tokens, len(tokens) AS n, unnest(range(1, len(tokens) + 1)) AS p FROM typed),
+w AS (SELECT qid, tokens, n, p, tokens[p] AS q, len(list_filter(tokens, lambda x: x NOT IN ({_STOP}))) = 0 AS all_stop FROM q),
+names AS (SELECT p_partkey AS lei, string_split(p_name, ' ') AS seq, round(p_retailprice / 1000, 1) AS prominence FROM part),
+t AS (SELECT lei, seq, unnest(range(1, len(seq) + 1)) AS pos FROM names),
+vocab AS (SELECT DISTINCT seq[pos] AS t FROM t),
+lv AS (SELECT q, t, CASE WHEN q = t THEN 3 WHEN starts_with(t, q) THEN 2 WHEN length(q) >= 4 AND len(list_filter([length(q) - 1, length(q), length(q) + 1], lambda j: j <= length(t) AND damerau_levenshtein(q, left(t, j)) <= 1)) > 0 THEN 1 ELSE 0 END AS level FROM (SELECT DISTINCT q FROM w), vocab),
+m AS (SELECT w.qid, t.lei, w.p, w.q, w.all_stop OR w.q NOT IN ({_STOP}) AS content, max(level) AS level, arg_min(t.pos, (-level, t.pos)) AS pos
+  FROM w JOIN lv USING (q) JOIN t ON t.seq[t.pos] = lv.t WHERE level > 0 GROUP BY ALL),
+s AS (SELECT qid, lei, bool_or(content) AS shown, count(*) FILTER (content) AS n_content, count(*) FILTER (level = 1) AS n_fuzzy, count(*) FILTER (level = 3) AS n_exact, count(DISTINCT pos) AS n_pos FROM m GROUP BY ALL),
+need AS (SELECT qid, count(*) FILTER (all_stop OR q NOT IN ({_STOP})) AS n_needed FROM w GROUP BY 1),
+f AS (SELECT qid, lei, len(tokens) AS n, shown, n_needed - n_content AS n_miss, n_fuzzy, n_exact, tokens = seq AS exact, prominence,
+    len(tokens) <= len(seq) AND tokens[:len(tokens) - 1] = seq[:len(tokens) - 1] AND starts_with(seq[len(tokens)], tokens[len(tokens)]) AS prefix, n_pos / greatest(1, len(seq)) AS coverage
+  FROM s JOIN typed USING (qid) JOIN need USING (qid) JOIN names USING (lei)),
+scored AS (SELECT qid, lei, round((CASE WHEN n_miss = 0 THEN 2.59 ELSE 0 END) - 4.83 * n_miss - 1.19 * n_fuzzy + 2.96 * n_exact / n + (CASE WHEN exact THEN 0.55 ELSE 0 END) + (CASE WHEN prefix THEN 0.84 ELSE 0 END) + 2.26 * coverage + prominence, 6) AS score FROM f WHERE shown),
+hits AS (SELECT qid, lei, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, lei) AS rank FROM scored)
+"""
+
+
+@query("WITH " + _TYPED_SQL + "SELECT qid, lei, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10")
+def flagship_search(spark, sf_dir):
+    names = tables.parts(spark, sf_dir)
+    return M.top_k(_typed(spark), names, names, 10)
+
+
+@query("WITH " + _TYPED_SQL + "SELECT qid, lei, n, shown, n_miss, n_fuzzy, n_exact, exact, prefix, round(coverage, 6) AS coverage FROM f")
+def match_features(spark, sf_dir):
+    found = M.features(_typed(spark), tables.parts(spark, sf_dir))
+    return found.select("qid", "lei", "n", "shown", "n_miss", "n_fuzzy", "n_exact", "exact", "prefix", F.round("coverage", 6).alias("coverage"))
+
+
+@query("WITH " + _TYPED_SQL + "SELECT q, t, level FROM lv WHERE level > 0")
+def match_level(spark, sf_dir):
+    q = _typed(spark).select(F.explode("tokens").alias("q"))
+    return M.vocabulary_levels(q, tables.parts(spark, sf_dir).select(F.explode("seq").alias("t")))
+
+
+_RANKED = "targets AS (SELECT (p_partkey % 20) AS qid, CASE WHEN p_size % 3 = 0 THEN 'head' WHEN p_size % 3 = 1 THEN 'torso' ELSE 'tail' END AS stratum, p_partkey AS lei FROM part WHERE p_partkey % 7 = 0), r AS (SELECT qid, stratum, min(rank) AS rank FROM targets LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (qid, lei) GROUP BY ALL), ql AS (SELECT stratum, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 9) AS s1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS s5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 9) AS s10 FROM r GROUP BY 1) "
+
+
+def _ranks(spark, sf_dir):
+    names = tables.parts(spark, sf_dir)
+    kind = F.col("p_size") % 3
+    t = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select((F.col("p_partkey") % 20).cast("int").alias("qid"), F.when(kind == 0, "head").when(kind == 1, "torso").otherwise("tail").alias("stratum"), F.col("p_partkey").alias("lei"))
+    return V.target_ranks(M.top_k(_typed(spark), names, names, 50), t)
+
+
+@query("WITH " + _TYPED_SQL + ", " + _RANKED + "SELECT stratum, n, mrr, s1, s5, s10 FROM ql")
+def mrr_by_stratum(spark, sf_dir):
+    return V.quality(_ranks(spark, sf_dir))
+
+
+@query("WITH " + _TYPED_SQL + ", " + _RANKED + "SELECT round(avg(mrr), 9) AS objective FROM ql")
+def objective(spark, sf_dir):
+    return V.objective(V.quality(_ranks(spark, sf_dir)))
+
+
+@query("WITH " + _TYPED_SQL + ", " + _RANKED + "SELECT qid, stratum, CASE WHEN rank IS NULL THEN 'not found' WHEN rank = 1 THEN 'first' WHEN rank <= 10 THEN 'page' ELSE 'beyond' END AS cause FROM r")
+def miss_causes(spark, sf_dir):
+    cause = F.when(F.col("rank").isNull(), "not found").when(F.col("rank") == 1, "first").when(F.col("rank") <= 10, "page").otherwise("beyond")
+    return _ranks(spark, sf_dir).select("qid", "stratum", cause.alias("cause"))
+
+
+_FOLD = "lower(strip_accents(replace(replace(replace(replace({0}, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'Œ', 'oe')))"
+
+
+@query(f"SELECT doc_id, sha256({_FOLD.format('text')}) AS folded FROM documents")
+def fold_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded"))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, p, list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda x: x <> '')[p] AS c FROM (SELECT doc_id, text, unnest(range(1, len(list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda x: x <> '')) + 1)) AS p FROM documents)),
+r AS (SELECT doc_id, p, regexp_extract_all(c, '[a-z0-9]+') AS runs FROM c),
+s AS (SELECT doc_id, p, unnest(CASE WHEN len(runs) >= 2 AND len(list_filter(runs, lambda x: length(x) > 2)) = 0 THEN [array_to_string(runs, '')] ELSE runs END) AS w, unnest(range(0, CASE WHEN len(runs) >= 2 AND len(list_filter(runs, lambda x: length(x) > 2)) = 0 THEN 1 ELSE len(runs) END)) AS k FROM r),
+o AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS i FROM s),
+g AS (SELECT doc_id, w, i, sum(CASE WHEN length(w) = 1 AND lag_len = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, lag(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS lag_len FROM o)),
+m AS (SELECT doc_id, grp, string_agg(w, '' ORDER BY i) AS token FROM g GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n, sha256(string_agg(token, ' ' ORDER BY grp)) AS tokens FROM m GROUP BY 1
+""")
+def name_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.name_seq(F.col("text")).alias("seq"))
+    return d.select("doc_id", F.size("seq").cast("long").alias("n"), F.sha2(F.array_join("seq", " "), 256).alias("tokens")).where("n > 0")
+
+
+@query()
+def name_forms(spark, sf_dir):
+    d = spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", T.name_seq(F.col("name")).alias("seq"), T.name_extras(F.col("name")).alias("extras"))
+    d = d.withColumn("form", T.form_start(F.col("seq")))
+    return d.select("name", "seq", "extras", "form", T.name_initials(F.col("seq"), F.col("form")).alias("initials"), T.index_terms(F.col("seq"), F.col("extras")).alias("terms"))
+
+
+_LEI = "CASE WHEN regexp_full_match({0}, '[0-9A-Z]{{18}}[0-9]{{2}}') THEN CAST(array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '') AS HUGEINT) % 97 = 1 ELSE false END"
+
+
+@query(f"SELECT code, {_LEI.format('code')} AS lei, regexp_full_match(code, '[0-9A-Z]{{4}}[A-Z]{{2}}[0-9A-Z]{{2}}([0-9A-Z]{{3}})?') AND substr(code, 5, 2) IN ('US','SE','CS','DE','GB','FR','NL') AS bic FROM (VALUES {_values((c,) for c in CODES)}) v(code)")
+def valid_codes(spark, sf_dir):
+    d = spark.createDataFrame([(c,) for c in CODES], "code string")
+    return d.select("code", I.valid_lei(F.col("code")).alias("lei"), I.valid_bic(F.col("code"), COUNTRIES).alias("bic"))
+
+
+@query()
+def identifier_readings(spark, sf_dir):
+    d = spark.createDataFrame([(c,) for c in CODES], "code string")
+    return d.select("code", I.readings(F.col("code"), COUNTRIES).alias("r"), I.valid_isin(F.col("code")).alias("is_isin"), I.register_number(F.col("code")).alias("register")).select("code", "r.*", "is_isin", "register")
+
+
+_ENT = """
+first AS (SELECT o_custkey AS lei, min(o_orderdate) AS d FROM orders GROUP BY 1),
+ent AS (SELECT c_custkey AS lei, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS entity_status, ['ISSUED', 'LAPSED', 'PENDING_TRANSFER', 'PENDING_ARCHIVAL', 'RETIRED', 'DUPLICATE', 'ANNULLED', 'MERGED'][c_custkey % 8 + 1] AS registration, c_mktsegment = 'FURNITURE' AS fund, c_nationkey, year(d) + (month(d) - 1) / 12 AS registered_year FROM customer LEFT JOIN first ON c_custkey = lei),
+rel AS (SELECT o_orderkey AS child, o_custkey AS parent, left(o_orderpriority, 1) AS kind, o_orderstatus <> 'P' AS active FROM orders),
+pc AS (SELECT parent AS lei, count(*) FILTER (kind = '1') AS n_direct, count(*) FILTER (kind = '2') AS n_ultimate, count(*) FILTER (kind = '3') AS n_branch FROM rel WHERE active AND kind IN ('1', '2', '3') GROUP BY 1),
+hp AS (SELECT DISTINCT child FROM rel WHERE active AND kind IN ('1', '2')),
+isin AS (SELECT o_custkey AS lei, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+"""
+
+
+@query("WITH " + _ENT + "SELECT lei AS parent, n_direct, n_ultimate, n_branch FROM pc")
+def parent_counts(spark, sf_dir):
+    return E.parent_counts(tables.relations(spark, sf_dir))
+
+
+@query("WITH " + _ENT + "SELECT child FROM hp")
+def has_parent(spark, sf_dir):
+    return E.has_parent(tables.relations(spark, sf_dir))
+
+
+@query("WITH " + _ENT + "SELECT lei, n FROM isin")
+def isin_counts(spark, sf_dir):
+    return E.key_counts(tables.isins(spark, sf_dir), "lei")
+
+
+@query("SELECT c_custkey AS lei FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def bic_flag(spark, sf_dir):
+    return tables.bics(spark, sf_dir)
+
+
+@query("SELECT parent, count(*) FILTER (kind = '1') AS direct, count(*) FILTER (kind = '2') AS ultimate, count(*) FILTER (kind = '3') AS branch FROM (SELECT o_custkey AS parent, left(o_orderpriority, 1) AS kind FROM orders) GROUP BY 1")
+def relationship_pivot(spark, sf_dir):
+    r = tables.relations(spark, sf_dir)
+    kinds = ["IS_DIRECTLY_CONSOLIDATED_BY", "IS_ULTIMATELY_CONSOLIDATED_BY", "IS_INTERNATIONAL_BRANCH_OF"]
+    out = r.groupBy("parent").pivot("type", kinds).count().na.fill(0)
+    return out.select("parent", *(F.col(k).alias(n) for k, n in zip(kinds, ("direct", "ultimate", "branch"), strict=True)))
+
+
+_TERM = "CAST(CAST({0} AS FLOAT) * CAST({1} AS FLOAT) AS FLOAT)"
+
+
+def _prominence_sql() -> str:
+    dead = "(entity_status <> 'ACTIVE' OR registration IN ('RETIRED', 'DUPLICATE', 'ANNULLED', 'MERGED'))"
+    flag = lambda c: f"(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)"
+    kids = "greatest(coalesce(n_direct, 0), coalesce(n_ultimate, 0))"
+    parent = "(child IS NOT NULL)"
+    years = "least(greatest(coalesce(CAST(CAST(2026.74 AS FLOAT) - CAST(registered_year AS FLOAT) AS FLOAT), 0), 0), 15)"
+    terms = [("-0.39", flag(f"NOT {dead} AND registration = 'LAPSED'")), ("0.32", flag("fund")), ("0.0", "0.0"), ("0.5", f"ln(1 + {kids})"), ("1.36", flag(f"{kids} > 0 AND NOT {parent}")), ("-0.56", flag(parent)), ("-0.91", "ln(1 + coalesce(n_branch, 0))"), ("0.49", "least(CAST(ln(1 + coalesce(isin.n, 0)) AS FLOAT), CAST(3.932 AS FLOAT))"), ("0.74", flag("bic")), ("2.46", f"CAST({years} / 10 AS FLOAT)"), ("-1.01", "ln(greatest(length(name), 1))")]
+    total = _TERM.format("-2.9", flag(dead))
+    for w, x in terms:
+        total = f"CAST({total} + {_TERM.format(w, x)} AS FLOAT)"
+    return total
+
+
+@query("WITH " + _ENT + f"""SELECT lei, CAST(floor(CAST({_prominence_sql()} AS DOUBLE) * 10 + 0.5) AS BIGINT) AS tenths
+FROM (SELECT ent.*, c_nationkey IN (SELECT s_nationkey FROM supplier) AS bic FROM ent) e LEFT JOIN pc USING (lei) LEFT JOIN hp ON hp.child = e.lei LEFT JOIN isin USING (lei)""")
+def prominence_tenths(spark, sf_dir):
+    e = E.with_signals(tables.entities(spark, sf_dir), tables.relations(spark, sf_dir), tables.isins(spark, sf_dir), tables.bics(spark, sf_dir), 2026.74)
+    return e.select("lei", N.stored_tenths(F.col("prominence")).alias("tenths"))
+
+
+@query("WITH " + _ENT + "SELECT lei, CASE WHEN entity_status = 'INACTIVE' THEN lower(l) ELSE l END AS letter FROM (SELECT *, ['I', 'L', 'T', 'P', 'R', 'D', 'A', 'M'][lei % 8 + 1] AS l FROM ent)")
+def status_letters(spark, sf_dir):
+    return tables.entities(spark, sf_dir).select("lei", E.status_letter(F.col("registration"), F.col("entity_status")).alias("letter"))
+
+
+_BAD = "SELECT CASE WHEN c_custkey % 11 = 0 THEN 'short' ELSE lpad(CAST(c_custkey AS VARCHAR), 20, '0') END AS lei, CASE WHEN c_custkey % 13 = 0 THEN 'x' ELSE 'SE' END AS country, CASE WHEN c_custkey % 17 = 0 THEN 'NEW' ELSE 'ISSUED' END AS registration, CASE WHEN c_custkey % 19 = 0 THEN ' ' ELSE c_name END AS name FROM customer"
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_full_match(lei, '[0-9A-Z]{{20}}') THEN 'bad LEI' WHEN NOT regexp_full_match(country, '[A-Z]{{2}}') THEN 'bad country' WHEN registration = 'NEW' THEN 'unknown status' WHEN trim(name) = '' THEN 'empty name' END AS reason FROM ({_BAD})) WHERE reason IS NOT NULL GROUP BY 1")
+def skip_reasons(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(k % 11 == 0, "short").otherwise(F.lpad(k.cast("string"), 20, "0")).alias("lei"), F.when(k % 13 == 0, "x").otherwise("SE").alias("country"),
+        F.when(k % 17 == 0, "NEW").otherwise("ISSUED").alias("registration"), F.when(k % 19 == 0, " ").otherwise(F.col("c_name")).alias("name"),
+    )
+    return E.skip_counts(rows)
+
+
+_POSTINGS = "post AS (SELECT DISTINCT p_partkey AS lei, unnest(string_split(p_name || ' ' || lower(replace(p_brand, '#', ' ')) || ' ' || lower(p_type), ' ')) AS term FROM part), cnt AS (SELECT term, count(*) AS cnt FROM post WHERE length(term) >= 2 GROUP BY 1)"
+_SHARDS = _POSTINGS + """, cut AS (SELECT term, cnt, left(term, i) AS prefix FROM (SELECT term, cnt, unnest(range(2, least(length(term), 14) + 1)) AS i FROM cnt)),
+sums AS (SELECT prefix, sum(cnt) AS total FROM cut GROUP BY 1),
+fit AS (SELECT term, arg_min(prefix, length(prefix)) AS shard FROM cut JOIN sums USING (prefix) WHERE total <= 200 OR length(prefix) = 14 GROUP BY 1),
+sh AS (SELECT term, cnt, coalesce(shard, term) AS shard, shard IS NULL AS alone FROM cnt LEFT JOIN fit USING (term))"""
+_FILES = _SHARDS + """, gs AS (SELECT shard, alone, min(term) AS lo, CAST(sum(cnt) AS BIGINT) AS size, row_number() OVER (ORDER BY min(term)) AS i FROM sh GROUP BY 1, 2),
+pk AS (SELECT i, CAST(0 AS BIGINT) AS file, size AS filled FROM gs WHERE i = 1 UNION ALL SELECT g.i, CASE WHEN pk.filled + g.size > 2000 THEN pk.file + 1 ELSE pk.file END, CASE WHEN pk.filled + g.size > 2000 THEN g.size ELSE pk.filled + g.size END FROM pk JOIN gs g ON g.i = pk.i + 1),
+fl AS (SELECT shard, alone, lo, CAST(file AS INTEGER) AS file FROM gs JOIN pk USING (i)),
+entries AS (SELECT DISTINCT file, lei FROM post JOIN sh USING (term) JOIN fl USING (shard, alone)),
+rk AS (SELECT file, lei, count(*) OVER (PARTITION BY file) > 500 AS capped, row_number() OVER (PARTITION BY file ORDER BY round(p_retailprice / 1000, 1) DESC, lei) AS rank FROM entries JOIN part ON p_partkey = lei),
+capd AS (SELECT file, lei, CAST(rank AS INTEGER) AS rank, capped FROM rk WHERE rank <= 500),
+bd AS (SELECT file, min(lo) AS lo FROM fl GROUP BY 1), tb AS (SELECT file, lo, lead(lo) OVER (ORDER BY file) AS hi, coalesce((SELECT bool_or(capped) FROM capd WHERE capd.file = bd.file), false) AS capped FROM bd)"""
+
+
+def _postings(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    words = F.split(F.concat_ws(" ", "p_name", F.lower(F.translate("p_brand", "#", " ")), F.lower("p_type")), " ")
+    return p.select(F.col("p_partkey").alias("lei"), F.explode(F.array_distinct(words)).alias("term")).where(F.length("term") >= 2)
+
+
+def _packed(spark, sf_dir):
+    post = _postings(spark, sf_dir)
+    shards = X.plan_shards(X.term_counts(post), 200)
+    return post, shards, X.pack_files(shards, 2000)
+
+
+def _capped(spark, sf_dir):
+    post, shards, files = _packed(spark, sf_dir)
+    return X.cap_files(X.files_of(post, shards, files), tables.parts(spark, sf_dir), 500), files
+
+
+@query(f"WITH {_POSTINGS} SELECT term, cnt FROM cnt")
+def index_terms_postings(spark, sf_dir):
+    return X.term_counts(_postings(spark, sf_dir))
+
+
+@query(f"WITH {_SHARDS} SELECT term, cnt, shard, alone FROM sh")
+def shard_plan(spark, sf_dir):
+    return X.plan_shards(X.term_counts(_postings(spark, sf_dir)), 200)
+
+
+@query(f"WITH RECURSIVE {_FILES} SELECT shard, alone, file, lo FROM fl")
+def file_pack(spark, sf_dir):
+    return _packed(spark, sf_dir)[2]
+
+
+@query(f"WITH RECURSIVE {_FILES} SELECT file, lei, rank, capped FROM capd")
+def cap_per_file(spark, sf_dir):
+    return _capped(spark, sf_dir)[0]
+
+
+@query(f"WITH RECURSIVE {_FILES} SELECT count(DISTINCT lei) AS reachable FROM capd")
+def reachable(spark, sf_dir):
+    return _capped(spark, sf_dir)[0].agg(F.count_distinct("lei").alias("reachable"))
+
+
+@query(f"WITH RECURSIVE {_FILES} SELECT file, lo, hi, capped FROM tb")
+def routing_table(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    return X.bounds(files, capped)
+
+
+@query(f"WITH RECURSIVE {_FILES}, ws AS (SELECT DISTINCT split_part(text, ' ', 1) AS word FROM documents) SELECT word, coalesce(file, 0) AS file FROM ws ASOF LEFT JOIN tb ON ws.word >= tb.lo")
+def file_of_word(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    w = table(spark, sf_dir, "documents").select(F.substring_index("text", " ", 1).alias("word")).distinct()
+    return X.file_of(w, X.bounds(files, capped), F.col("word"), "file")
+
+
+@query()
+def route_paused(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    return X.route(_typed(spark), X.bounds(files, capped), paused=True)
+
+
+@query()
+def route_typing(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    return X.route(_typed(spark), X.bounds(files, capped), paused=False)
+
+
+@query()
+def routed_search(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    routed = X.route(_typed(spark), X.bounds(files, capped)).select("qid", F.explode("files").alias("file"))
+    pool = routed.join(capped, "file").select("qid", "lei").distinct()
+    names = tables.parts(spark, sf_dir)
+    scored = M.features(_typed(spark), names).withColumn("match", M.match_score()).where("match IS NOT NULL").join(pool, ["qid", "lei"], "left_semi")
+    return scored.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("match"), 6).alias("best"))
+
+
+@query("SELECT o_custkey, o_orderkey, (SELECT max_by(e.event_type, (e.ts, e.event_id)) FROM events e WHERE e.user_id = o_custkey AND e.ts <= o_orderdate) AS event_type FROM orders")
+def asof_mapping(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey"), "ts", F.struct("event_id", "event_type").alias("found"))
+    return E.latest_before(o, e, "o_custkey", "o_orderdate", "ts", "found").select("o_custkey", "o_orderkey", F.col("found.event_type").alias("event_type"))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def code_lookup(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT p_size, p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_size ORDER BY sha1('seed:' || p_partkey), p_partkey) <= count(*) OVER (PARTITION BY p_size) // 2 THEN 'train' ELSE 'test' END AS split FROM part")
+def split_5050(spark, sf_dir):
+    return V.half_split(table(spark, sf_dir, "part").select("p_size", "p_partkey"), "p_partkey", "seed", "p_size")
+
+
+@query("SELECT c_custkey, CAST(('0x' || right(sha1(CAST(c_custkey AS VARCHAR)), 1)) AS INTEGER) % 2 AS fold FROM customer")
+def cv_fold(spark, sf_dir):
+    h = F.right(F.sha1(F.col("c_custkey").cast("string").cast("binary")), F.lit(1))
+    return table(spark, sf_dir, "customer").select("c_custkey", (F.conv(h, 16, 10).cast("int") % 2).alias("fold"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) AS most FROM orders GROUP BY 1")
+def percentile_summary(spark, sf_dir):
+    return V.summary(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return V.bootstrap(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt > ts + INTERVAL 30 MINUTE")
+def debounce_pauses(spark, sf_dir):
+    return S.pauses(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "30 minutes").select("user_id", "event_id")
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def latest_seq(spark, sf_dir):
+    return S.newest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE value > 90 OR nxt IS NULL OR nxt >= ts + INTERVAL 2 HOUR")
+def settled_searches(spark, sf_dir):
+    return S.settled(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type", "2 hours", F.col("value") > 90)
+
+
+@query("SELECT event_id, coalesce(ts < max(CASE WHEN value > 80 THEN ts + INTERVAL 1 HOUR END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM events")
+def rate_hold(spark, sf_dir):
+    return S.held(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("value") > 80, "1 hour").select("event_id", "held")
+
+
+@query("SELECT item_id, k, left(text, k) AS typed FROM (SELECT item_id, text, unnest(range(1, length(split_part(text, ' ', 1)) + 1)) AS k FROM benchmark)")
+def keystroke_sessions(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", "text", F.explode(F.sequence(F.lit(1), F.length(F.substring_index("text", " ", 1)))).alias("k")).select("item_id", "k", F.left("text", F.col("k")).alias("typed"))
+
+
+@query("SELECT a.p_partkey, CASE WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM part a LEFT JOIN (SELECT p_partkey AS p, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 9 <> 0) b ON a.p_partkey = b.p WHERE b.p IS NULL OR b.s <> a.p_size")
+def index_diff(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    other = p.where("p_partkey % 9 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return P.diff(p, other, ["p_partkey"], "p_size")
+
+
+@query("SELECT p_size AS file, count(*) AS n, sha256(string_agg(p_partkey || ':' || p_name, chr(10) ORDER BY p_partkey)) AS sha256 FROM part GROUP BY 1")
+def content_hash(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_size", "file")
+    return P.content_hash(p, "file", ["p_partkey"], F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.col("p_name")))
+
+
+_METRICS = (("entities", 3300000, 3310000, 3000000, 3700000, 3), ("files", 6438, 5000, 5500, 7500, 5), ("gzip", 220, 221, 190, 250, 10), ("reach", 95, 97, 96, 100, 1))
+
+
+@query(f"SELECT name, CAST(value AS BIGINT) AS value, value BETWEEN lo AND hi AND abs(value - live) <= tol / 100.0 * live AS ok FROM (VALUES {_values(_METRICS)}) v(name, value, live, lo, hi, tol)")
+def publish_checks(spark, sf_dir):
+    m = spark.createDataFrame(_METRICS, "name string, value long, live long, lo long, hi long, tol int").withColumn("tolerance", F.col("tol") / 100)
+    return P.bounded_checks(m)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def rollback_target(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    live = o.where("o_orderstatus = 'F'").agg(F.max("o_orderdate")).first()[0]
+    builds = o.select(F.col("o_orderdate").alias("build"), F.col("o_orderkey").alias("created"))
+    return P.rollback_target(builds, live).select(F.col("created").alias("o_orderkey"), F.col("build").alias("o_orderdate"))
+
+
+@query("SELECT n_regionkey, n_name FROM (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) WHERE k = 1")
+def first_named_code(spark, sf_dir):
+    return E.first_named(table(spark, sf_dir, "nation"), "n_regionkey", ["n_name"], "n_nationkey").withColumnRenamed("name", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def anti_torso(spark, sf_dir):
+    c, o, s = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    pool = c.where("c_acctbal >= 0").join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return pool.join(s.where("s_acctbal < 0").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lower(text)) AS n FROM documents) WHERE n = 1")
+def unique_names_tail(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("norm", F.sha2(F.lower("text"), 256))
+    once = d.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return once.select("doc_id")
+
+
+@query("SELECT DISTINCT a, b FROM (SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def lenient_targets(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def record_flatten(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT '{' || string_agg('\"' || n_nationkey || '\":\"' || n_name || '\"', ',' ORDER BY CAST(n_nationkey AS VARCHAR)) || '}' AS json FROM nation")
+def codes_json(spark, sf_dir):
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.col("n_name"))))
+    return table(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+
+
+@query("WITH " + _TYPED_SQL + """, g2 AS (SELECT CAST(wm AS DOUBLE) AS wm, CAST(wf AS DOUBLE) AS wf FROM (SELECT unnest([2.0, 4.83]) AS wm), (SELECT unnest([0.5, 1.19]) AS wf)),
+sg AS (SELECT wm, wf, qid, lei, round((CASE WHEN n_miss = 0 THEN 2.59 ELSE 0 END) - wm * n_miss - wf * n_fuzzy + 2.96 * n_exact / n + (CASE WHEN exact THEN 0.55 ELSE 0 END) + (CASE WHEN prefix THEN 0.84 ELSE 0 END) + 2.26 * coverage + prominence, 6) AS score FROM f, g2 WHERE shown)
+SELECT wm, wf, qid, lei FROM (SELECT *, row_number() OVER (PARTITION BY wm, wf, qid ORDER BY score DESC, lei) AS k FROM sg) WHERE k = 1""")
+def weight_grid(spark, sf_dir):
+    names = tables.parts(spark, sf_dir)
+    found = M.features(_typed(spark), names).join(names.select("lei", "prominence"), "lei")
+    grid = F.array(*(F.struct(F.lit(m).alias("wm"), F.lit(f).alias("wf")) for m in (2.0, 4.83) for f in (0.5, 1.19)))
+    out = found.withColumn("g", F.explode(grid)).select("*", "g.wm", "g.wf").where("shown")
+    base = M.match_score(M.MATCH | {"miss": 0.0, "fuzzy": 0.0})
+    score = F.round(base - F.col("wm") * F.col("n_miss") - F.col("wf") * F.col("n_fuzzy") + F.col("prominence"), 6)
+    return out.withColumn("score", score).groupBy("wm", "wf", "qid").agg(F.min_by("lei", F.struct(-F.col("score"), F.col("lei"))).alias("lei"))
