@@ -8,9 +8,12 @@ pattern matches depends only on the text that follows. The pieces between the cu
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,90 +26,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the adjacent pair of least rank (leftmost on ties) is joined until none is left."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    if n > 256:
-        return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(n)]
-    pairs = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(n - 1)]
-    while pairs:
-        best = min(pairs)
-        if best == 1 << 60:
-            break
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """merge_piece with a heap over linked parts, for pre-tokens of any length."""
-    import heapq
-
-    n = len(piece)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    live = [True] * n
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not live[i] or j >= n or end[j] != stop or end[i] != j:
-            continue
-        live[j], end[i], after[i] = False, stop, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if before[i] >= 0 and (r := ranks.get(piece[before[i] : stop])) is not None:
-            heapq.heappush(heap, (r, before[i], stop))
-    return [ranks[piece[i : end[i]]] for i in range(n) if live[i]]
+class _Known(dict):
+    """Pre-token to its ids and the same in decimal, joined by commas; works out what it is asked for. Keeps short pre-tokens from
+    the second time that they are met (most are met once), between `keep` and twice that many."""
+
+    def __init__(self, merge: Callable[[str], list[int]], keep: int):
+        super().__init__()
+        self.merge, self.keep, self.older = merge, keep, {}
+        self.met, self.n_met = bytearray(1 << 22), 0
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
+        got = self.older.get(piece)
+        if got is None:
+            ids = tuple(self.merge(piece))
+            got = ids, ",".join(map(str, ids))
+            at = hash(piece) & 0x3FFFFF
+            if not self.met[at]:
+                self.met[at], self.n_met = 1, self.n_met + 1
+                if self.n_met > 1 << 21:
+                    self.met, self.n_met = bytearray(1 << 22), 0
+                return got
+        if len(piece) <= 64:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
 
 
 class Codec:
-    """Encodes and decodes with one rank file; keeps the results for short pre-tokens, between `keep` and twice that many of
-    those met last."""
+    """Encodes and decodes with one rank file."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 250_000):
+    def __init__(self, path: str, pattern: str, keep: int = 150_000):
         self.ranks = load_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern)
-        self.keep, self.known, self.older = keep, {}, {}
+        # its pattern takes whatever it is given as one pre-token: the library only joins pairs by rank
+        merges = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.known = _Known(merges.encode_ordinary, keep)
 
     def encode_pieces(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str]]:
         """Ids of each pre-token, and the same in decimal, joined by commas."""
-        known, out = self.known, []
-        for p in pieces:
-            got = known.get(p)
-            if got is None:
-                got = self.older.get(p)
-                if got is None:
-                    ids = tuple(merge_piece(p.encode(), self.ranks))
-                    got = ids, ",".join(map(str, ids))
-                if len(p) <= 64:
-                    if len(known) >= self.keep:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[p] = got
-            out.append(got)
-        return out
+        return list(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_both(text)[0]
 
     def encode_both(self, text: str) -> tuple[list[int], str]:
         found = self.encode_pieces(self.split.findall(text))
-        return [i for ids, _ in found for i in ids], ",".join([d for _, d in found])
+        return list(chain.from_iterable(map(itemgetter(0), found))), ",".join(map(itemgetter(1), found))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
