@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,18 +195,21 @@ class Tagger:
         return ",".join(f"{places[a][0]}:{places[b - 1][1]}:{self.model.langs[labels[a]]}" for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
-def _tagging(shared, with_spans: bool, cells: int = 8_000_000):
+def _tagging(shared, with_spans: bool, letters: int = 2_000_000):
+    """Texts of a batch are taken by length, some `letters` at a time (a longer text alone): what is held follows that, and the
+    steps that all take together are few where texts are short."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        letters = max(1, cells * 6 // max(1, len(shared.value.langs)))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes = np.cumsum([len(t) if t else 0 for t in texts])
-            at = 0
+            sizes = np.array(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), np.int64)
+            order = np.argsort(-sizes, kind="stable")
+            sums, at = np.cumsum(sizes[order]), 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + letters)))
-                rows = tagger.tag(texts[at:to], with_spans)
-                columns = {n: batch.column(n).slice(at, to - at) for n in batch.schema.names if n != "text"}
+                to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + letters, "right")))
+                part = batch.take(pa.array(order[at:to]))
+                rows = tagger.tag(part.column("text").to_pylist(), with_spans)
+                columns = {n: part.column(n) for n in part.schema.names if n != "text"}
                 columns |= {"lang_pred": pa.array([r[0] for r in rows], pa.string()), "score": pa.array([r[1] for r in rows], pa.float64())}
                 yield pa.RecordBatch.from_pydict(columns | ({"spans": pa.array([r[2] for r in rows], pa.string())} if with_spans else {}))
                 at = to
