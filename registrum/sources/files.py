@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -34,7 +33,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("file", F.col("p")[0].alias("lei"), (F.col("p")[1].cast("int") / 10).alias("prominence"), F.col("p")[2].alias("country"), F.col("p")[3].alias("status"), F.col("p")[4].alias("name"), F.expr("slice(p, 6, size(p))").alias("other_names"))
 
 
-MANIFEST = T.StructType.fromDDL("format int, build string, asOf string, entities bigint, bounds array<string>, capped array<int>")
+MANIFEST = "format int, build string, asOf string, entities bigint, bounds array<string>, capped array<int>"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
