@@ -1,6 +1,7 @@
 """Helpers every operator of this subpackage shares: the shared folder, staged tables, Arrow text access."""
 
-import os
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -59,5 +60,36 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def own_tmp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
+_kept: dict = {}
+
+
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive tasks, and one executor has several."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def kept(key, build):
+    """What build() gives, kept for a worker's next tasks until a task asks for something else."""
+    if key not in _kept:
+        _kept.clear()
+        tidy()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def lean(run):
+    """A function over Arrow batches that starts without what other operators keep in the worker, and leaves no freed memory behind."""
+
+    def wrapped(batches):
+        if _kept:
+            _kept.clear()
+            tidy()
+        yield from run(batches)
+        tidy()
+
+    return wrapped

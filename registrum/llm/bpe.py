@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from registrum.llm._shared import kept
+
 CHUNK, OVERLAP, LOOK = 32_768, 1_024, 3
 
 
@@ -57,7 +59,7 @@ class _Known(dict):
 class Codec:
     """Encodes and decodes with one rank file."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 150_000):
+    def __init__(self, path: str, pattern: str, keep: int = 100_000):
         self.ranks = load_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
@@ -90,14 +92,9 @@ class Codec:
         return [c for k, c in enumerate(found) if not k or found[k - 1] <= len(chunk) - LOOK]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec_for(path: str, pattern: str) -> Codec:
     """One codec for all tasks of a Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return kept((path, pattern), lambda: Codec(path, pattern))
 
 
 def _short(path: str, pattern: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registrum.llm._shared import lean
+
 #: Bounds of what is learned from: documents of each language, and n-grams kept.
 DOCS_PER_LANG, GRAMS = 600, 30_000
 SWITCH, BARRED = 9.0, -40.0
@@ -227,4 +229,4 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[key].cast("long").alias("k"), held_out(docs[key]).alias("held_out"), docs[text].alias("text"))
     out = "k long, held_out boolean, lang_pred string, score double" + ", spans string" * with_spans
-    return rows.mapInArrow(_tagging(shared, with_spans), out).withColumnRenamed("k", key)
+    return rows.mapInArrow(lean(_tagging(shared, with_spans)), out).withColumnRenamed("k", key)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import bounded, staged
+from registrum.llm._shared import bounded, lean, staged
 from registrum.llm.components import connected_components
 from registrum.llm.wordhash import mix, shingle_sets
 
@@ -75,7 +75,7 @@ def idf_table(docs: DataFrame, settings: Settings) -> np.ndarray:
     """Inverse document frequency by bucket of the shingle's hash, over all documents: 1 for the rarest, `floor` for what every
     document has. Buckets that shingles share count for all of them; the table's size does not depend on the documents. Its
     blocks are summed by tasks that hold no more than the table."""
-    parts = docs.select("text").mapInArrow(_count_blocks(settings.shingle), "block int, counts binary")
+    parts = docs.select("text").mapInArrow(lean(_count_blocks(settings.shingle)), "block int, counts binary")
     rows = parts.repartition(16, "block").mapInArrow(_add_blocks, "block int, counts binary").collect()
     sums = {r["block"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows}
     if not sums:
@@ -286,7 +286,7 @@ def _leader_links(members: DataFrame, vectors: DataFrame, shared, settings: Sett
     pairs = bounded(staged(pairs.distinct(), "pairs"))
     first = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("h1"), F.col("times").alias("t1"))
     second = vectors.select(F.col("node").alias("v"), F.col("hashes").alias("h2"), F.col("times").alias("t2"))
-    found = first.join(pairs, "u").join(second, "v").mapInArrow(_verify(shared, settings), LINK)
+    found = first.join(pairs, "u").join(second, "v").mapInArrow(lean(_verify(shared, settings)), LINK)
     return staged(found, "verified"), lead.withColumnRenamed("v", "node")
 
 
@@ -299,7 +299,7 @@ def _block_links(members: DataFrame, vectors: DataFrame, shared, settings: Setti
     side = F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
     dealt = dealt.select("node", "band", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
     rows = dealt.join(vectors, "node").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    return staged(rows.mapInArrow(_blocks_verified(shared, settings), LINK), "verified")
+    return staged(rows.mapInArrow(lean(_blocks_verified(shared, settings)), LINK), "verified")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.unhex(F.md5(docs[text].cast("binary"))).alias("node"), docs[text].alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     shared = spark.sparkContext.broadcast(idf_table(rows, settings))
-    signed = staged(rows.mapInArrow(_sign(shared, settings), "doc_id long, node binary, bands array<long>"), "signatures")
+    signed = staged(rows.mapInArrow(lean(_sign(shared, settings)), "doc_id long, node binary, bands array<long>"), "signatures")
     nodes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("no", "value")).select("node", F.xxhash64("no", "value").alias("band"))
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
 
     holders = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
     texts = rows.join(bounded(staged(holders, "holders")), ["doc_id", "node"], "left_semi").select("node", "text")
-    vectors = staged(texts.mapInArrow(_vectors(shared, settings), VECTOR).dropDuplicates(["node"]), "vectors")
+    vectors = staged(texts.mapInArrow(lean(_vectors(shared, settings)), VECTOR).dropDuplicates(["node"]), "vectors")
 
     links, lead = _leader_links(members, vectors, shared, settings)
     parts = connected_components(links.select("u", "v"))

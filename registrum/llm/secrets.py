@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from registrum.llm._shared import lean
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -168,7 +170,7 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", th
     """
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("text"))
     out = "k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * with_text
-    return rows.mapInArrow(_scan(threshold, words, with_text), out).withColumnRenamed("k", key)
+    return rows.mapInArrow(lean(_scan(threshold, words, with_text)), out).withColumnRenamed("k", key)
 
 
 def _redact_rows(threshold: float, words: tuple[str, ...]):
@@ -187,5 +189,5 @@ def _redact_rows(threshold: float, words: tuple[str, ...]):
 def redacted(docs: DataFrame, *, threshold: float = THRESHOLD, words: tuple[str, ...] = COMMON) -> DataFrame:
     """The documents with their secrets marked out of the text and n_chars, if there is one, of the new text. All rows and columns
     stay; null texts stay null."""
-    out = docs.mapInArrow(_redact_rows(threshold, words), docs.schema)
+    out = docs.mapInArrow(lean(_redact_rows(threshold, words)), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
