@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registrum.functions import text as T
-from registrum.functions.constants import FUZZY_MIN_LENGTH, MATCH
+from registrum.functions.constants import FUZZY_MIN_LENGTH, INITIALS_MIN_PROMINENCE, MATCH
 
 
 def common_prefix(q: Column, t: Column) -> Column:
@@ -98,9 +98,21 @@ def match_score(w: dict[str, float] = MATCH) -> Column:
     return F.when(F.col("shown"), s)
 
 
+def initials_hits(queries: DataFrame, names: DataFrame, entities: DataFrame, w: dict[str, float] = MATCH) -> DataFrame:
+    """(qid, lei, match) of queries of one word of 3 to 6 characters that are the initials of a name (lei, initials), for entities
+    prominent enough. An equi-join on the initials."""
+    q = queries.where((F.size("tokens") == 1) & F.length(F.get("tokens", F.lit(0))).between(3, 6)).select("qid", F.get("tokens", F.lit(0)).alias("short"))
+    known = names.select("lei", F.explode("initials").alias("short")).distinct()
+    known = known.join(entities.where(F.col("prominence") >= INITIALS_MIN_PROMINENCE).select("lei"), "lei", "left_semi")
+    return q.join(known, "short").select("qid", "lei", F.lit(w["initials"]).alias("match"))
+
+
 def top_k(queries: DataFrame, names: DataFrame, entities: DataFrame, k: int, w: dict[str, float] = MATCH) -> DataFrame:
-    """(qid, lei, score, rank): the k best entities (lei, prominence) of each query, by best name plus prominence, then lei."""
-    scored = features(queries, names).withColumn("match", match_score(w)).where(F.col("match").isNotNull())
+    """(qid, lei, score, rank): the k best entities (lei, prominence) of each query, by best name plus prominence, then lei. Names with
+    a column initials are found by those too, which count as the better of both matches."""
+    scored = features(queries, names).withColumn("match", match_score(w)).where(F.col("match").isNotNull()).select("qid", "lei", "match")
+    if "initials" in names.columns:
+        scored = scored.unionByName(initials_hits(queries, names, entities, w))
     best = scored.groupBy("qid", "lei").agg(F.max("match").alias("match")).join(entities.select("lei", "prominence"), "lei")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "lei")
     ranked = best.withColumn("score", F.round(F.col("match") + F.col("prominence"), 6)).withColumn("rank", F.row_number().over(order))
