@@ -24,8 +24,8 @@ def prepare(candidates: DataFrame, features: list[str]) -> DataFrame:
     good = chosen.where("hit").select("qid", "stratum")
     sizes = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_"))
     # queries of a stratum weigh queries / (strata * queries of the stratum)
-    total = sizes.agg(F.sum("n_").alias("all_"), F.count(F.lit(1)).alias("strata_"))
-    weights = sizes.join(F.broadcast(total)).select("stratum", (F.col("all_") / (F.col("strata_") * F.col("n_"))).alias("weight"))
+    queries, strata = sizes.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.count(F.lit(1))).first()
+    weights = sizes.select("stratum", (F.lit(float(queries)) / (F.lit(float(max(strata, 1))) * F.col("n_"))).alias("weight"))
     return chosen.join(good.select("qid"), "qid", "left_semi").join(weights, "stratum").select("qid", "hit", "weight", *(F.col(f).cast("double").alias(f) for f in features))
 
 
