@@ -55,3 +55,31 @@ def register_number(text: Column) -> Column:
     shaped = compact.rlike("^[0-9A-Z]{19,20}$") | compact.rlike("^[A-Z]{2}[0-9A-Z]{9}[0-9]$")
     good = (F.length(t) >= 5) & t.rlike(r"^[A-Za-z0-9 .\-/]+$") & ~shaped & (digits >= 5) & (digits * 2 >= letters) & ~only_years
     return F.when(good, t)
+
+
+# Fixed value: no identifier is longer.
+LONGEST_LOOKUP = 35
+
+
+def lookups(text: Column, countries: list[str]) -> Column:
+    """array of struct(kind, code): every lookup that an input calls for, in the order of lei, isin, bic, reg.no; none for a text longer
+    than any identifier."""
+    r = readings(text, countries)
+    one = lambda kind, code: F.when(code.isNotNull(), F.struct(F.lit(kind).alias("kind"), code.alias("code")))
+    found = F.filter(F.array(one("lei", r["lei"]), one("isin", r["isin"]), one("bic", r["bic"]), one("reg.no", register_number(text))), lambda x: x.isNotNull())
+    return F.when(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) <= LONGEST_LOOKUP, found).otherwise(F.filter(found, lambda x: F.lit(False)))
+
+
+def partial_lei(text: Column) -> Column:
+    """How many characters of an LEI a text without spaces could be the start of, or 0: 6 to 19 with three digits or more, not as long
+    as another code (8, 11, 12)."""
+    code = ascii_upper(F.regexp_replace(text, r"\s+", ""))
+    one_word = ~F.regexp_replace(text, r"^\s+|\s+$", "").rlike(r"\s")
+    fits = one_word & code.rlike("^[0-9A-Z]{6,19}$") & (F.length(F.regexp_replace(code, "[^0-9]", "")) >= 3) & ~F.length(code).isin(8, 11, 12)
+    return F.when(fits, F.length(code)).otherwise(0)
+
+
+def bad_lei(text: Column) -> Column:
+    """Whether a text without spaces has an LEI's shape and not its check digits."""
+    code = ascii_upper(F.regexp_replace(text, r"\s+", ""))
+    return F.coalesce(~F.regexp_replace(text, r"^\s+|\s+$", "").rlike(r"\s") & code.rlike("^[0-9A-Z]{18}[0-9]{2}$") & ~valid_lei(code), F.lit(False))

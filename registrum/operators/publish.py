@@ -27,3 +27,16 @@ def content_hash(rows: DataFrame, by: str, order: list[str], line) -> DataFrame:
     """(by, n, sha256) of each file's lines in order."""
     listed = F.sort_array(F.collect_list(F.struct(*order, line.alias("line_"))))
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x["line_"]), "\n"), 256).alias("sha256"))
+
+
+def blocking_checks(metrics: DataFrame, build: dict, queries: DataFrame, config: dict, live: dict | None = None, accept_change: bool = False) -> DataFrame:
+    """(name, value, ok) of all checks of a build. metrics as for bounded_checks (relative bounds are left out if the change is
+    accepted); build has missing, entities, records and objective; queries (query, expected, first); live may have objective."""
+    spark = metrics.sparkSession
+    bounds = bounded_checks(metrics.withColumn("live", F.lit(None).cast("double")) if accept_change else metrics).select("name", F.col("value").cast("string").alias("value"), "ok")
+    reach = build["entities"] / build["records"] if build["records"] else 0.0
+    objective, before = build.get("objective"), (live or {}).get("objective")
+    good = objective is not None and objective >= config["objective"] and (before is None or accept_change or objective >= before - config["objective_drop"])
+    single = [("files on disk", f"{len(build['missing'])} missing", not build["missing"]), ("reachability", f"{reach:.4f}", reach >= config["reachability"]), ("objective", "not measured" if objective is None else f"{objective:.4f}", good)]
+    fixed = queries.select(F.concat(F.lit("query "), "query").alias("name"), F.coalesce("first", F.lit("no result")).alias("value"), F.coalesce(F.col("first") == F.col("expected"), F.lit(False)).alias("ok"))
+    return bounds.unionByName(spark.createDataFrame(single, "name string, value string, ok boolean")).unionByName(fixed)
