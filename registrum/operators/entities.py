@@ -21,6 +21,21 @@ def skip_counts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", skip_reason()).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def skip_examples(rows: DataFrame, row: str, most: int = 20) -> DataFrame:
+    """(reason, row, lei): of each reason the first rows skipped, as a report shows them."""
+    skipped = rows.withColumn("reason", skip_reason()).where(F.col("reason").isNotNull())
+    nth = F.row_number().over(Window.partitionBy("reason").orderBy(row))
+    return skipped.withColumn("nth_", nth).where(F.col("nth_") <= most).select("reason", row, "lei")
+
+
+def check_skipped(rows: DataFrame, most: int = 1000, share: float = 0.001) -> DataFrame:
+    """The rows that aren't skipped; fails if more than `most` of them or more than their share are."""
+    skipped, n = rows.agg(F.count_if(skip_reason().isNotNull()), F.count(F.lit(1))).first()
+    if skipped > most or skipped > share * n:
+        raise ValueError(f"{skipped} of {n} rows would be skipped")
+    return rows.where(skip_reason().isNull())
+
+
 def status_letter(registration: Column, entity_status: Column) -> Column:
     letters = F.create_map(*(F.lit(x) for pair in STATUS_LETTERS.items() for x in pair))
     letter = F.element_at(letters, registration)

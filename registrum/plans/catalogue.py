@@ -12,28 +12,16 @@ from registrum.operators import index as X
 from registrum.operators import match as M
 from registrum.operators import publish as P
 from registrum.plans import tables
+from registrum.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from registrum.plans.tables import table
 from registrum.streaming import sessions as S
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 TYPED = ("cold widget", "cold wid", "hot", "widget", "small gear", "smal gear", "gaer large", "red", "blue bolt", "blu", "large", "gear of", "the bolt", "new pipe", "old", "green valve", "valve", "wdiget", "bolt red", "metal")
 CODES = ("529900GRZ2BQY5ZM9N49", "HWUPKR0MPOU8FGXBT394", "HWUPKR0MPOU8FGXBT395", "US92204Q1031", "US0378331005", "US0378331006", "PLING0100027", "LBTCUS44XXX", "ERICSSON", "ERICQQON", "LBTCUS44X", "5299 00GR Z2BQ Y5ZM 9N49", "Sony Corp", "TEER SE SS XXX", "556016-0680", "HRB 86891", "SC123456", "12345", "Fund 2021", "AB1234", "")
 COUNTRIES = ["US", "SE", "CS", "DE", "GB", "FR", "NL"]
 NAMES = ("Skandinaviska Enskilda Banken AB (publ)", "BP P.L.C.", "SAS AB", "AB", "Acme GmbH & Co. KG", "Royal Bank of Canada", "International Business Machines Corporation", "The Hongkong and Shanghai Banking Corporation Limited", "AT&T", "Coca-Cola", "L M Ericsson", "H & M", "a b c d", "3M Company", "Deutsche Bank AG")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _typed(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(TYPED)), "qid int, query string")
     return rows.select("qid", "query", T.query_tokens(F.col("query")).alias("tokens"), T.last_is_prefix(F.col("query")).alias("in_progress"))
