@@ -49,3 +49,32 @@ def bootstrap(values: DataFrame, cluster: str, column: str, draws: int = 200, se
     means = drawn.groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(p[0].alias("low"), p[1].alias("high"))
+
+
+def rank_of_target(scored: DataFrame, targets: DataFrame) -> DataFrame:
+    """(qid, lei, rank) of targets (qid, lei) among all scored (qid, lei, score): by score, then lei; null for a target that isn't
+    scored. Only queries with a target are ranked; a query's rows are sorted, which spills, and never paired."""
+    asked = scored.join(targets.select("qid").distinct(), "qid", "left_semi")
+    ranked = asked.select("qid", "lei", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "lei")).alias("rank"))
+    return targets.join(ranked, ["qid", "lei"], "left").select("qid", "lei", "rank")
+
+
+def keystrokes_needed(ranks: DataFrame) -> DataFrame:
+    """(qid, top5, top1, share) of ranks (qid, k, length, rank): the first keystroke k at which the target is among the first five, and
+    first, and the share of the text that was typed for the former; null if it never is."""
+    first = lambda r: F.min(F.when(F.col("rank") <= r, F.col("k")))
+    return ranks.groupBy("qid").agg(first(5).alias("top5"), first(1).alias("top1"), (first(5) / F.max("length")).alias("share"))
+
+
+def keystroke_summary(needed: DataFrame) -> DataFrame:
+    """(n, reached, median_k, median_share): how many texts, the share that gets there, and the medians of those that do."""
+    mid = lambda c: F.round(F.percentile(c, F.lit(0.5)), 6)
+    return needed.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("top5").isNotNull(), 1.0).otherwise(0.0)), 6).alias("reached"), mid("top5").alias("median_k"), mid("share").alias("median_share"))
+
+
+def first_by_precision(scored: DataFrame, precisions: dict[str, float]) -> DataFrame:
+    """(precision, qid, lei): each query's first of scored (qid, lei, match, prominence) with prominence kept in steps of a size, halves
+    upwards."""
+    kept = lambda step: F.floor(F.col("prominence") / step + 0.5) * step
+    each = F.array(*(F.struct(F.lit(n).alias("precision"), F.round(F.col("match") + (kept(s) if s else F.col("prominence")), 6).alias("s")) for n, s in precisions.items()))
+    return scored.select("qid", "lei", F.explode(each).alias("p")).groupBy("p.precision", "qid").agg(F.min_by("lei", F.struct(-F.col("p.s"), F.col("lei"))).alias("lei"))

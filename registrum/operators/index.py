@@ -80,3 +80,30 @@ def route(queries: DataFrame, table: DataFrame, *, paused: bool = True) -> DataF
     lone = file_of(words.where((F.col("n") == 1) & (F.length("word") >= 2)), table, F.col("word"), "own").select("qid", F.when(F.lit(paused), F.array("own")).alias("lone"))
     none = F.array().cast("array<int>")
     return queries.select("qid").join(listed, "qid", "left").join(lone, "qid", "left").select("qid", F.coalesce("files", "lone", none).alias("files"))
+
+
+def _gzip_sizes(texts):
+    import zlib
+
+    def size(text: str) -> int:
+        packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return len(packer.compress(text.encode())) + len(packer.flush())
+
+    return texts.map(size)
+
+
+def index_sizes(lines: DataFrame) -> DataFrame:
+    """(file, n, bytes, gzip) of lines (file, rank, line): a file's entries, bytes and bytes compressed. A file has at most as many lines
+    as the index's cap, so it fits a task."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
+    return files.select("file", "n", F.octet_length("text").cast("long").alias("bytes"), F.pandas_udf(_gzip_sizes, "long")("text").alias("gzip"))
+
+
+def churn(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(files, changed, share): how many files of two builds' lines (file, rank, line) differ, by digests of files that don't depend on
+    the order of rows."""
+    digest = lambda df, n: df.groupBy("file").agg(F.count(F.lit(1)).alias(f"n_{n}"), F.bit_xor(F.xxhash64("rank", "line")).alias(f"x_{n}"), F.sum(F.pmod(F.xxhash64("line", "rank"), F.lit(1_000_000_007))).alias(f"s_{n}"))
+    both = digest(before, "a").join(digest(after, "b"), "file", "full_outer")
+    same = F.col("n_a").eqNullSafe(F.col("n_b")) & F.col("x_a").eqNullSafe(F.col("x_b")) & F.col("s_a").eqNullSafe(F.col("s_b"))
+    return both.agg(F.count(F.lit(1)).alias("files"), F.count_if(~same).alias("changed"), F.round(F.avg(F.when(same, 0.0).otherwise(1.0)), 9).alias("share"))

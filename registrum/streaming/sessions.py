@@ -41,3 +41,12 @@ def stream_pauses(events: DataFrame, session: str, at: str, gap: str, late: str)
 def stream_distinct(events: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
     """A stream's first event of each key within the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def pauses_by_kind(events: DataFrame, session: str, at: str, tie: str, kind: str, gaps: dict[str, str], otherwise: str) -> DataFrame:
+    """As pauses(), each kind of event waiting its own time: those that no event of the session follows within it."""
+    nxt = _after(session, at, tie)
+    wait = F.expr(f"INTERVAL {otherwise}")
+    for name, gap in gaps.items():
+        wait = F.when(F.col(kind) == name, F.expr(f"INTERVAL {gap}")).otherwise(wait)
+    return events.withColumn("next_", nxt).where(F.col("next_").isNull() | (F.col("next_") > F.col(at) + wait)).drop("next_")

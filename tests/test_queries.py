@@ -1,7 +1,7 @@
 import pytest
 from compare import canonical, oracle
 
-from registrum.plans import catalogue, pages  # noqa: F401
+from registrum.plans import catalogue, pages, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
