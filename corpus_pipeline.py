@@ -14,20 +14,22 @@ LEAST_SHARE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, without text, or without one language that most letters are in, go. A null lang is filled in."""
-    told = langid.identify(docs, langid.learn(docs), with_spans=False)
-    good = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    return docs.join(staged(good, "languages"), "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.labelled(docs, langid.learn(docs))
+    good = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal and near-equal documents the one with the least doc_id stays."""
+    """Of each group of equal and near-equal documents the one row with the least doc_id (null last) stays."""
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(staged(found.where("contaminated").select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    leaks = staged(found.where("contaminated").select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")).distinct(), "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_key"))
+    return docs.join(leaks, same, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from registrum.llm._shared import lean
 
@@ -197,7 +198,7 @@ class Tagger:
         return ",".join(f"{places[a][0]}:{places[b - 1][1]}:{self.model.langs[labels[a]]}" for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
-def _tagging(shared, with_spans: bool, letters: int = 2_000_000):
+def _tagging(shared, with_spans: bool, letters: int = 2_000_000, with_text: bool = False):
     """Texts of a batch are taken by length, some `letters` at a time (a longer text alone): what is held follows that, and the
     steps that all take together are few where texts are short."""
 
@@ -211,7 +212,7 @@ def _tagging(shared, with_spans: bool, letters: int = 2_000_000):
                 to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + letters, "right")))
                 part = batch.take(pa.array(order[at:to]))
                 rows = tagger.tag(part.column("text").to_pylist(), with_spans)
-                columns = {n: part.column(n) for n in part.schema.names if n != "text"}
+                columns = {n: part.column(n) for n in part.schema.names if with_text or n != "text"}
                 columns |= {"lang_pred": pa.array([r[0] for r in rows], pa.string()), "score": pa.array([r[1] for r in rows], pa.float64())}
                 yield pa.RecordBatch.from_pydict(columns | ({"spans": pa.array([r[2] for r in rows], pa.string())} if with_spans else {}))
                 at = to
@@ -230,3 +231,10 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     rows = docs.select(docs[key].cast("long").alias("k"), held_out(docs[key]).alias("held_out"), docs[text].alias("text"))
     out = "k long, held_out boolean, lang_pred string, score double" + ", spans string" * with_spans
     return rows.mapInArrow(lean(_tagging(shared, with_spans)), out).withColumnRenamed("k", key)
+
+
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of docs (with a column text) and its lang_pred and score, as identify tells them. Rows need no key: nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(lean(_tagging(shared, False, with_text=True)), schema)

@@ -304,18 +304,21 @@ def _block_links(members: DataFrame, vectors: DataFrame, shared, settings: Setti
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes has a row for each row of docs: key, node (digest of the text), class_id, the least key of its
-    class, and kept, true for one row of each class. links has the verified pairs of different texts and their similarity.
+    class, and kept, true for exactly one row of each class. links has the verified pairs of different texts and their similarity.
 
     Classes are the connected components of equal texts and verified links. Texts of fewer words than a shingle are one
-    shingle; a text without words, a null text and a null key match nothing but equal texts (a null text or key: nothing), and
-    a null key has a null class and is kept. Repeated rows are one text, one of them is kept. Other columns are ignored.
+    shingle; a text without words matches nothing but equal texts; a null text matches nothing and is kept. Rows are told apart
+    by key and text, not by key alone; a null key comes after all others, and class_id is null where a class has no other.
+    Of repeated rows at most one is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.unhex(F.md5(docs[text].cast("binary"))).alias("node"), docs[text].alias("text"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.where(F.col("text").isNotNull())
     shared = spark.sparkContext.broadcast(idf_table(rows, settings))
-    signed = staged(rows.mapInArrow(lean(_sign(shared, settings)), "doc_id long, node binary, bands array<long>"), "signatures")
-    nodes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "nodes")
+    signed = rows.mapInArrow(lean(_sign(shared, settings)), "doc_id long, node binary, bands array<long>")
+    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    nodes = staged(signed.groupBy("node").agg(least.alias("first"), F.first("bands").alias("bands")).select("node", "first", F.col("first.doc_id").alias("first_id"), "bands"), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("no", "value")).select("node", F.xxhash64("no", "value").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -323,8 +326,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
     centre = members.groupBy("node").agg(F.sum("size").alias("weight"))
     members = staged(members.join(centre, "node").select("band", "node", "weight"), "members")
 
-    holders = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
-    texts = rows.join(bounded(staged(holders, "holders")), ["doc_id", "node"], "left_semi").select("node", "text")
+    holders = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select("first_id", F.col("node").alias("held"))
+    texts = rows.join(bounded(staged(holders, "holders")), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("held")), "left_semi").select("node", "text")
     vectors = staged(texts.mapInArrow(lean(_vectors(shared, settings)), VECTOR).dropDuplicates(["node"]), "vectors")
 
     links, lead = _leader_links(members, vectors, shared, settings)
@@ -338,16 +341,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
     parts = connected_components(links.select("u", "v"))
 
     nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classed = staged(nodes.join(heads, "component").select("node", "class_id"), "classes")
-    mine = signed.select("doc_id", "node").join(classed, "node")
-    others = docs.where(docs[key].isNull() | docs[text].isNull()).select(docs[key].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("node"), docs[key].cast("long").alias("class_id"))
-    every = mine.select("doc_id", "node", "class_id").unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    heads = nodes.groupBy("component").agg(F.min("first").alias("head"))
+    classed = staged(nodes.join(heads, "component").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row")), "classes")
+    mine = signed.select("doc_id", "node", "row").join(classed, "node").withColumn("kept", F.col("row") == F.col("head_row"))
+    others = docs.where(docs[text].isNull()).select(docs[key].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("node"), docs[key].cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    every = mine.select("doc_id", "node", "class_id", "kept").unionByName(others)
     return every.withColumnRenamed("doc_id", key), links
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents without all but the first of each class; all columns stay. Repeated rows of that first are one."""
+    """The documents without all but the first of each class; all columns stay. Repeated rows (doc_id and text) of that first are
+    one, whatever their other columns; rows that share a doc_id alone are judged by their own texts."""
     classes, _ = near_duplicates(docs, settings)
-    drop = staged(classes.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    pairs = classes.where(F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"))
+    pairs = pairs.agg(F.bool_or("kept").alias("head"), F.count(F.lit(1)).alias("n"))
+    told = staged(pairs.where(~F.col("head") | (F.col("n") > 1)).select("its_id", "its_node", "head"), "told")
+    drop, repeated = (told.where(c).drop("head") for c in (~F.col("head"), F.col("head")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.col("_node") == F.col("its_node"))
+    left = docs.withColumn("_node", F.unhex(F.md5(F.col("text").cast("binary")))).join(drop, same, "left_anti")
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -271,3 +271,29 @@ def test_pipeline(spark):
     library = _reference()[2]
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()}
     assert out == {k: len(library.encode_ordinary(t)) for k, t in left.items()}
+
+
+def test_rows_are_judged_by_key_and_text(spark):
+    x, y, z, w = (text(90, k) for k in (301, 302, 303, 304))
+    near = x.replace(x.split()[45], "changed", 1)
+    keyed = [(5, x), (5, x), (5, y), (3, y), (None, z), (None, z), (7, near), (None, near), (None, w), (4, w), (8, None), (None, None), (None, None)]
+    rows = spark.createDataFrame([(k, t, "en", f"s{n}", 0) for n, (k, t) in enumerate(keyed)], docs(spark, []).drop("text_key").schema)
+    out = minhash.near_duplicates(rows)[0].collect()
+    assert len(out) == len(keyed) and sum(r.kept for r in out) == 7
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out if r.kept) == [("3", "3"), ("4", "4"), ("5", "5"), ("8", "8"), *[("None", "None")] * 3]
+    left = minhash.keep_one(rows)
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(k), str(t)) for k, t in [(5, x), (3, y), (None, z), (4, w), (8, None), (None, None), (None, None)])
+    assert left.columns == rows.columns
+
+
+def test_stages_judge_rows_without_a_unique_key(spark, tmp_path):
+    import corpus_pipeline
+
+    clean, leak = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 400").limit(2).toPandas()["text"]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    keyed = [(1, clean), (1, leak), (None, clean), (None, leak), (2, "123 456")]
+    rows = spark.createDataFrame([(k, t, None, "s", 0) for k, t in keyed], docs(spark, []).drop("text_key").schema)
+    found = corpus_pipeline.decontamination(spark, rows, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(k), t) for k, t in keyed if t != leak)
+    told = corpus_pipeline.language(spark, rows.unionByName(spark.createDataFrame([(90 + k, clean, "en", "s", 0) for k in range(30)], rows.schema)), SF).collect()
+    assert sorted(str(r.doc_id) for r in told if r.doc_id is None or r.doc_id < 90) == ["1", "1", "None", "None"] and {r.lang for r in told} == {"en"}
