@@ -1,4 +1,5 @@
-"""Substring removal by units: paragraphs, lines, and the sentences of lines, each known by the digest of its normal form.
+"""Substring removal by units: paragraphs, lines, the sentences of lines, each known by the digest of its normal form, and
+windows of WINDOW words wherever they start, so that repeated passages of that length go to their ends.
 
 Digests are grouped over all documents; the occurrence that ranks first (least doc_id, then place) stays, every other one is
 removed and told by its offsets in the original text.
@@ -6,16 +7,25 @@ removed and told by its offsets in the original text.
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from registrum.llm._shared import staged
+from registrum.llm.wordhash import _power_tables, mix, word_hashes
 
 MIN_WORDS = 8
-_UNITS = {"paragraph": re.compile(r"(?:(?!\n[ \t]*\n).)+", re.DOTALL), "line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*")}
+#: Words of a window: a passage of over 50 words has one even if its first and last word carry other punctuation.
+WINDOW = 49
+#: Words of the grams that windows are looked up by, and bits of the table of repeated grams and of a block of it.
+GRAM, BITS, BLOCK_BITS = 24, 27, 20
+_UNITS = {"paragraph": re.compile(r"[^\n]+(?:\n(?![ \t]*\n)[^\n]+)*"), "line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*")}
+_WORD = re.compile(r"[^\t-\r ]+")
+KINDS = ("paragraph", "line", "sentence")
 
 
 def normal(unit: str) -> str:
@@ -23,7 +33,7 @@ def normal(unit: str) -> str:
     return " ".join(unit.lower().split()).strip(".,;:!?\"'()[]- ")
 
 
-def units(text: str, kinds: tuple[str, ...] = ("line", "sentence"), min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+def units(text: str, kinds: tuple[str, ...] = KINDS, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a text that have `min_words` words or more."""
     for kind in kinds:
         for m in _UNITS[kind].finditer(text):
@@ -32,7 +42,80 @@ def units(text: str, kinds: tuple[str, ...] = ("line", "sentence"), min_words: i
                 yield m.start(), m.end(), hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _listing(kinds: tuple[str, ...], min_words: int):
+def _span_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of every run of `size` words."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up[:n], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+
+
+def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, owner, place, least, words): hashes of all grams within a row; row and first word of every window of WINDOW words,
+    and the least hash of its grams. Equal windows have equal least grams."""
+    count, words = word_hashes(column)
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+    left = count[owner] - place
+    grams = _span_hashes(words, GRAM)
+    least, width = grams, 1
+    while width < WINDOW - GRAM + 1:
+        step = min(width, WINDOW - GRAM + 1 - width)
+        least, width = np.minimum(least[: max(0, len(least) - step)], least[step:]), width + step
+    whole = np.flatnonzero(left[: len(least)] >= WINDOW)
+    return grams[left[: len(grams)] >= GRAM], whole, place[whole], least[whole], words
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the grams that windows are looked up by occur in a slice of rows."""
+    for part in (b.column("text").slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        grams, _, _, least, _ = windows(part)
+        found, n = np.unique(grams[np.isin(grams, least)], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def _bit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        slots = batch.column("slot").to_numpy()
+        for block in np.unique(slots >> BLOCK_BITS).tolist():
+            blocks.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))[slots[slots >> BLOCK_BITS == block] & ((1 << BLOCK_BITS) - 1)] = True
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(blocks), pa.int64()), "bits": pa.array([zlib.compress(np.packbits(b).tobytes(), 1) for b in blocks.values()], pa.binary())})
+
+
+def repeated_grams(rows: DataFrame) -> np.ndarray:
+    """Bits by hash: set for every gram that occurs more than once. Its size does not follow the texts; a bit that is set without
+    need only has windows listed that prove to be single."""
+    often = rows.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    slots = often.select(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)).alias("slot")).withColumn("block", F.shiftright("slot", BLOCK_BITS))
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    size = 1 << (BLOCK_BITS - 3)
+    for r in slots.repartition("block").mapInArrow(_bit_blocks, "block long, bits binary").collect():
+        bits[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return bits
+
+
+def repeated_windows(column: pa.Array, bits: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], int, bytes]]:
+    """(row, places of its words, first word, digest) of every window whose least gram is repeated."""
+    _, whole, place, least, words = windows(column)
+    slot = (least & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    hot = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+    if not len(hot):
+        return
+    both = np.stack([_span_hashes(w, WINDOW)[whole[hot]] for w in (words, mix(words ^ np.uint64(0x5851F42D4C957F2D)))], axis=1)
+    digests, count = both.tobytes(), word_hashes(column)[0]
+    rows = np.searchsorted(np.cumsum(count), whole[hot], "right").tolist()
+    last, spans = None, []
+    for k, (row, first) in enumerate(zip(rows, place[hot].tolist(), strict=True)):
+        if row != last:
+            last, spans = row, [m.span() for m in _WORD.finditer(column[row].as_py())]
+        yield row, spans, first, digests[16 * k : 16 * k + 16]
+
+
+def _listing(kinds: tuple[str, ...], min_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows: list[list] = [[], [], [], [], []]
@@ -43,6 +126,10 @@ def _listing(kinds: tuple[str, ...], min_words: int):
                         seen.add((start, end))
                         for column, value in zip(rows, (doc, copy, start, end, digest), strict=True):
                             column.append(value)
+            ids, copies = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            for row, words, first, digest in repeated_windows(batch.column("text"), shared.value):
+                for column, value in zip(rows, (ids[row], copies[row], words[first][0], words[first + WINDOW - 1][1], digest), strict=True):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "text_key", "start", "end", "digest"])
 
     return run
@@ -77,23 +164,28 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def dedup_units(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = ("line", "sentence"), min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = KINDS, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, n_removed, chars_removed, spans, kept_text) of every row of docs. spans are start:end in code points of the original
     text, adjacent ones joined; kept_text is the text without them.
 
     The first occurrence of a unit over all documents stays, by doc_id (null first), then hash of the text, then place; a unit
-    repeated within a document is removed there too. A null text stays null and has no units; texts without a unit of `min_words`
+    repeated within a document is removed there too. So is every word inside a window of WINDOW words that
+    occurred before, wherever the window starts. A null text stays null and has no units; texts without a unit of `min_words`
     words are left alone; of repeated rows each gives a row, and as copies of one row they are treated alike. Only digests and
     places are shuffled before the texts meet their spans; the first occurrences are pre-aggregated, so that a unit that very
     many documents share is no single task.
     """
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
-    listed = staged(rows.mapInArrow(_listing(kinds, min_words), "doc_id long, text_key long, start int, end int, digest binary").distinct(), "units")
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_grams(rows))
+    listed = staged(rows.mapInArrow(_listing(kinds, min_words, shared), "doc_id long, text_key long, start int, end int, digest binary"), "units")
     rank = F.struct("doc_id", "text_key", "start", "end")
-    firsts = listed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "first")
+    firsts = listed.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final")).where(~F.col("first").eqNullSafe(F.col("final"))).select("digest", "first")
     firsts = staged(firsts, "firsts")
-    again = listed.join(firsts, "digest").where(~rank.eqNullSafe(F.col("first")))
-    per_doc = again.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    # what overlaps its own first occurrence (a passage that repeats itself, a line that is one sentence) leaves that one whole
+    over = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.end"))
+    again = listed.join(firsts, "digest").where(~over | ((F.col("start") > F.col("first.start")) & (F.col("end") > F.col("first.end"))))
+    again = again.withColumn("start", F.when(over, F.col("first.end")).otherwise(F.col("start")))
+    per_doc = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     met = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["text_key"] == per_doc["text_key"]), "left")
     out = met.select(rows["doc_id"], rows["text"], "found").mapInArrow(_cut, "doc_id long, n_removed long, chars_removed long, spans string, kept_text string")
     return out.withColumnRenamed("doc_id", key)

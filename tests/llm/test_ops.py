@@ -297,3 +297,18 @@ def test_stages_judge_rows_without_a_unique_key(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(k), t) for k, t in keyed if t != leak)
     told = corpus_pipeline.language(spark, rows.unionByName(spark.createDataFrame([(90 + k, clean, "en", "s", 0) for k in range(30)], rows.schema)), SF).collect()
     assert sorted(str(r.doc_id) for r in told if r.doc_id is None or r.doc_id < 90) == ["1", "1", "None", "None"] and {r.lang for r in told} == {"en"}
+
+
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(12)
+    plain = lambda n: [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(n)]
+    inside, short, item = plain(51), plain(60), plain(3)
+    lines = "\n".join(" ".join(short[k : k + 5]) for k in range(0, 60, 5))
+    texts = [None, " ".join(plain(20) + inside + plain(20)), " ".join(["é"] + plain(30) + inside + plain(9)), " ".join(plain(9)) + "\n" + lines + "\n" + " ".join(plain(9)), lines + "\n" + " ".join(plain(9)), " ".join(item * 40)]
+    texts += ["a b c\nd e f\ng h i\n\nown one", "x\n\na b c\nd e f\ng h i\n\nown two"]
+    out = {r.doc_id: r for r in linededup.dedup_units(docs(spark, texts)).collect()}
+    gone = {k: "".join(texts[k][int(a) : int(b)] for a, b in (s.split(":") for s in r.spans.split(",") if s)) for k, r in out.items() if texts[k]}
+    assert [gone[k] for k in (1, 3, 6)] == ["", "", ""] and gone[2] == " ".join(inside) and gone[4] == lines
+    assert gone[7].split() == "a b c d e f g h i".split()
+    # the first window of a text that repeats itself stays
+    assert out[5].kept_text.split() == (item * 40)[: linededup.WINDOW]
