@@ -19,7 +19,16 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 and more: what [0-9a-f]+ finds, less its shorter matches
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client)[_-]?key|auth|credentials?)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;]{8,})""", re.IGNORECASE | re.ASCII)
+#: Key names may have a prefix (db_password, dbPassword) and a suffix (secret_key, secretKey); a quoted value ends at its closing
+#: quote, another at a space or comma.
+CONTEXT = re.compile(
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))|(?=passw|passphrase|passcode|pwd|secret))
+    (?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client)[_-]?key|auth|credentials?)
+    (?:(?:[_.-]|(?=[0-9])|(?-i:(?<=[a-z])(?=[A-Z])))[A-Za-z0-9_.-]*+)?
+    ["']?\x20*(?::=|=>|[:=])\x20*
+    (?:"((?:\\.|[^"\\\n]){8,})"|'((?:\\.|[^'\\\n]){8,})'|["']?([^\s"'<>,;]{8,}))""",
+    re.IGNORECASE | re.ASCII | re.VERBOSE,
+)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
 #: log10 of the guesses from which a value in a credential's place counts as a secret.
 THRESHOLD = 10.0
@@ -119,7 +128,7 @@ def guess_spans(text: str, cost: GuessCost, threshold: float = THRESHOLD) -> lis
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
-    return [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if cost.log10(m[1]) >= threshold]
+    return [("guess", *m.span(m.lastindex)) for m in CONTEXT.finditer(text) if cost.log10(m[m.lastindex]) >= threshold]
 
 
 def joined(spans: list[Span]) -> str:

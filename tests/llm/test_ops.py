@@ -312,3 +312,15 @@ def test_repeated_passages_go_whole(spark):
     assert gone[7].split() == "a b c d e f g h i".split()
     # the first window of a text that repeats itself stays
     assert out[5].kept_text.split() == (item * 40)[: linededup.WINDOW]
+
+
+def test_secrets_in_credential_contexts():
+    cost = secrets.GuessCost()
+    value = "Xq7!vR2#pL9z"
+    for line in (f'dbPassword="{value}"', f"clientSecret: {value}", f'secret_key = "{value}"', f"secretKey={value}ab", f"mypassword: {value}", f"DB_PASSWORD_2='{value}'", 'password: "Xq7!vR,2#pL9z"', 'password: "Xq7! vR2 #pL9z"', f"pwd={value}, next"):
+        spans = secrets.guess_spans(line, cost)
+        assert len(spans) == 1, line
+        hidden = line[spans[0][1] : spans[0][2]]
+        assert hidden == (line.split('"')[1] if '"' in line else hidden) and value[:4] in hidden and "next" not in hidden
+    for line in ("author: Bartholomew_Q7x!", "compass: Xq7!vR2#pL9z", "secretary: Xq7!vR2#pL9z", 'password = "password1999"', "secret_" + "aA_9" * 20000):
+        assert not secrets.guess_spans(line, cost), line[:40]
