@@ -1,9 +1,11 @@
 """Helpers every operator of this subpackage shares: the shared folder, staged tables, Arrow text access."""
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,13 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Taken from spark.checkpoint.dir; a temporary one is set only where
-    that is unset (local sessions, tests)."""
+    that is unset and all run on one machine (local sessions, tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="registrum-shared-")
         spark.sparkContext.setCheckpointDir(f"file://{known}")
         known = spark.sparkContext.getCheckpointDir()
@@ -35,7 +39,41 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """Tables staged inside are removed at the end, but for those that are given to what this yields: they go to the scope around it, if
+    there is one. What leaves the scope must not read the others."""
+    opened: list[str] = []
+    _scopes.append(opened)
+
+    def keep(df: DataFrame) -> DataFrame:
+        opened.remove(df.staged_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        removed(spark, *opened)
 
 
 def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -44,6 +82,14 @@ def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

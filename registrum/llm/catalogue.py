@@ -26,8 +26,13 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "kept")
 
 
+#: Words of the shortest line or paragraph that production removes: headings, license lines and common phrases are no repeats of a
+#: document's own text, and stay.
+LEAST_WORDS = 20
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_units(table(spark, sf_dir, "documents"))
+    out = linededup.dedup_units(table(spark, sf_dir, "documents"), min_words=LEAST_WORDS)
     return out.select("doc_id", "n_removed", "chars_removed", "spans", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -50,9 +55,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOOLS = (("search", "query", "STRING", True), ("search", "limit", "BIGINT", False), ("fetch", "url", "STRING", True), ("calculate", "expression", "STRING", True))
 
 
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """The conversations with tools in them, since the table has none: texts that are JSON objects stay as they are, every assistant's
+    turn calls a tool besides its text, every later user's turn answers one. By conversation and turn, some calls of the first ten
+    turns use an earlier call's answer, some a later one's, some each other's; some identifiers come twice; some answers come before their call, some
+    find none; some arguments are not what the tool takes. All rows stay."""
+    c, t = F.col("conv_id"), F.col("turn")
+    ident = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    used = F.when(t.between(3, 9) | ((c % 13 == 0) & (t < 9)), ident(F.when(c % 26 == 0, 4 - t).when(c % 13 == 0, t + 2).otherwise(t - 2))).otherwise(F.lit("all"))
+    limit = F.when(c % 4 == 1, F.lit('"many"')).otherwise((t + 1).cast("string"))
+    arguments = F.concat(F.lit('{"query":"'), used, F.lit('","limit":'), limit, F.lit("}"))
+    call = F.struct(ident(F.when((c % 5 == 0) & (t == 5), 1).otherwise(t)).alias("id"), F.when(c % 7 == 6, "unknown").otherwise("search").alias("name"), arguments.alias("arguments"))
+    answered = ident(F.when((c + t) % 7 == 0, t + 100).when((c + t) % 11 == 0, t + 1).otherwise(t - 1))
+    said = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls"))))
+    said = said.when((F.col("role") == "user") & (t > 0), F.to_json(F.struct(F.col("text").alias("content"), answered.alias("tool_call_id"))))
+    made = F.when(F.col("text").rlike(r"^\s*\{"), F.col("text")).otherwise(F.coalesce(said, F.col("text")))
+    return conversations.select("conv_id", "turn", "role", made.alias("text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link_tools(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, chat.SCHEMA))
-    return linked.select("conv_id", "turn", "role", "after_turn", "depth", "n_calls", "n_valid", "status", F.sha2("message", 256).alias("message_sha256"))
+    messages = tool_turns(table(spark, sf_dir, "conversations"))
+    linked = chat.link_tools(messages, spark.createDataFrame(TOOLS, chat.SCHEMA))
+    return linked.select("conv_id", "turn", "role", "position", "after_turn", "depth", "n_calls", "n_valid", "status", F.sha2("message", 256).alias("message_sha256"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
