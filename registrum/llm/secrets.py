@@ -2,6 +2,7 @@
 
 The cost is that of the cheapest way to put the value together from known words, dates, repeats, keyboard walks, runs of
 the alphabet and brute force, found by dynamic programming over its characters (after Wheeler's zxcvbn, USENIX Security 2016).
+Known words are those of common passwords and, ranked behind them, the most frequent words of the documents themselves.
 """
 
 import hashlib
@@ -42,8 +43,13 @@ COMMON = tuple(
 )
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+_YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"[-/._]?"
+#: A date or a year from here on: of both the whole date and its year are read.
+_DATE = re.compile(rf"(?=({_YEAR}{_SEP}{_MONTH}{_SEP}{_DAY}|{_DAY}{_SEP}{_MONTH}{_SEP}{_YEAR})?({_YEAR})?)", re.ASCII)
+#: The longest part of a run or repeat, besides the whole, that is weighed.
+PIECE = 32
+#: Words that are learned from the documents: what comes to the driver and goes to every task, some 200 kB.
+LEARNED = 20_000
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -74,8 +80,7 @@ class GuessCost:
                         yield i, j, math.log10(rank + 1) + extra + 0.3 * (value[i:j] != low[i:j])
 
     def _runs(self, value: str) -> Iterator[tuple[int, int, float]]:
-        """Keyboard walks and runs of consecutive characters, three and longer: of each longest run, every part that ends
-        where it ends or starts where it starts."""
+        """Keyboard walks and runs of consecutive characters, three and longer, and every part of them of three to PIECE."""
         low = value.lower()
         for joined, start in ((lambda a, b: b in _NEAR.get(a, ()), 1.7), (lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum(), 1.4)):
             i = 0
@@ -83,22 +88,47 @@ class GuessCost:
                 j = i + 1
                 while j < len(low) and joined(low[j - 1], low[j]):
                     j += 1
-                if j - i >= 3:
-                    yield i, j, start + math.log10(j - i) + 0.2 * (j - i)
+                for a, b in _parts(i, j):
+                    yield a, b, start + math.log10(b - a) + 0.2 * (b - a)
                 i = j
 
-    def matches(self, value: str) -> list[tuple[int, int, float]]:
-        found = [*self._words(value), *self._runs(value)]
-        found += [(m.start(), m.end(), math.log10(365 * (119 if m.end() - m.start() > 4 else 1))) for m in _DATE.finditer(value)]
-        for m in _REPEAT.finditer(value):
-            if m.end() - m.start() >= 3:
-                found.append((m.start(), m.end(), self.log10(m[1], repeats=False) + math.log10((m.end() - m.start()) // len(m[1]))))
-        return found
+    def _dates(self, value: str) -> Iterator[tuple[int, int, float]]:
+        for m in _DATE.finditer(value):  # looks ahead: dates may overlap
+            for a, b in {m.span(1), m.span(2)} - {(-1, -1)}:
+                yield a, b, math.log10(365 * 119 if b - a > 4 else 365)
+
+    def _repeats(self, value: str) -> Iterator[tuple[int, int, float]]:
+        """Units of up to eight characters said twice and more, three characters at least: every number of times up to PIECE characters,
+        and as often as they come."""
+        unit_cost: dict[str, float] = {}
+        for size in range(1, min(8, len(value) // 2) + 1):
+            same = [value[k] == value[k + size] for k in range(len(value) - size)] + [False]
+            end = [0] * (len(value) - size + 1)  # how many characters from here are those `size` further on
+            for k in range(len(value) - size - 1, -1, -1):
+                end[k] = end[k + 1] + 1 if same[k] else 0
+            for i in range(len(value) - size):
+                times = end[i] // size + 1
+                if times < 2:
+                    continue
+                unit = value[i : i + size]
+                if unit not in unit_cost:
+                    unit_cost[unit] = self.log10(unit, repeats=False)
+                for n in {*range(2, min(times, PIECE // size) + 1), times}:
+                    if n * size >= 3:
+                        yield i, i + n * size, unit_cost[unit] + math.log10(n)
+
+    def matches(self, value: str, repeats: bool = True) -> Iterator[tuple[int, int, float]]:
+        """(start, end, log10 of guesses) of every part of the value that is a word, a run, a date or a repeat."""
+        yield from self._words(value)
+        yield from self._runs(value)
+        if repeats:
+            yield from self._dates(value)
+            yield from self._repeats(value)
 
     def log10(self, value: str, repeats: bool = True) -> float:
-        """The least sum over all segmentations; each further segment doubles the guesses."""
+        """The least sum over all segmentations into matches and spans of brute force; each further segment doubles the guesses."""
         ends: dict[int, list[tuple[int, float]]] = {}
-        for i, j, cost in self.matches(value) if repeats else [*self._words(value), *self._runs(value)]:
+        for i, j, cost in self.matches(value, repeats):
             ends.setdefault(j, []).append((i, cost))
         step = math.log10(2)
         best, brute = [0.0] + [math.inf] * len(value), [math.inf] * (len(value) + 1)
@@ -108,6 +138,23 @@ class GuessCost:
         return best[-1]
 
 
+def _parts(i: int, j: int) -> Iterator[tuple[int, int]]:
+    """Parts of three and more of a run: all up to PIECE long, and the whole."""
+    for a in range(i, j - 2):
+        for b in range(a + 3, min(j, a + PIECE) + 1):
+            yield a, b
+    if j - i > PIECE:
+        yield i, j
+
+
+def learn_words(docs: DataFrame, *, text: str = "text", keep: int = LEARNED, least: int = 3) -> tuple[str, ...]:
+    """The words of all texts by frequency, most common first (then by the word): those of three to twenty letters that occur `least`
+    times or more, at most `keep` of them, which bounds what comes to the driver. Counts are taken over all documents."""
+    listed = F.regexp_extract_all(F.lower(docs[text]), F.lit(r"\p{L}{3,20}+(?!\p{L})"), F.lit(0))
+    counts = docs.select(F.explode(listed).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return tuple(r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(keep).collect())
+
+
 Span = tuple[str, int, int]
 
 
@@ -150,9 +197,9 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(threshold: float, words: tuple[str, ...], with_text: bool):
+def _scan(threshold: float, shared, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        cost = GuessCost(shared.value)
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")}
             for text in batch.column("text").to_pylist():
@@ -170,21 +217,28 @@ def _scan(threshold: float, words: tuple[str, ...], with_text: bool):
     return run
 
 
-def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: tuple[str, ...] = COMMON, with_text: bool = True) -> DataFrame:
+def _known(docs: DataFrame, words: tuple[str, ...] | None, text: str):
+    """The ranked words, broadcast: those given, or the common ones and those learned from the documents."""
+    ranked = words if words is not None else tuple(dict.fromkeys((*COMMON, *learn_words(docs, text=text))))
+    return docs.sparkSession.sparkContext.broadcast(ranked)
+
+
+def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: tuple[str, ...] | None = None, with_text: bool = True) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, redacted) of every row of docs. Spans are kind:start:end in code
     points, end exclusive, joined by commas, by start and then kind; redacted is the text with all spans marked out.
 
-    A null text has no spans and stays null; so does a null key. Repeated rows each give a row; an empty table gives none.
-    Other columns are ignored. No shuffle: every text is scanned whole where it is read.
+    words: ranked words that guessing begins with; by default common ones and the LEARNED most frequent of all documents. A null text
+    has no spans and stays null; so does a null key. Repeated rows each give a row; an empty table gives none. Other columns are
+    ignored. Only counts of words are shuffled: every text is scanned whole where it is read.
     """
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("text"))
     out = "k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * with_text
-    return rows.mapInArrow(lean(_scan(threshold, words, with_text)), out).withColumnRenamed("k", key)
+    return rows.mapInArrow(lean(_scan(threshold, _known(docs, words, text), with_text)), out).withColumnRenamed("k", key)
 
 
-def _redact_rows(threshold: float, words: tuple[str, ...]):
+def _redact_rows(threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        cost = GuessCost(shared.value)
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = []
             for text in batch.column("text").to_pylist():
@@ -195,8 +249,8 @@ def _redact_rows(threshold: float, words: tuple[str, ...]):
     return run
 
 
-def redacted(docs: DataFrame, *, threshold: float = THRESHOLD, words: tuple[str, ...] = COMMON) -> DataFrame:
+def redacted(docs: DataFrame, *, threshold: float = THRESHOLD, words: tuple[str, ...] | None = None) -> DataFrame:
     """The documents with their secrets marked out of the text and n_chars, if there is one, of the new text. All rows and columns
-    stay; null texts stay null."""
-    out = docs.mapInArrow(lean(_redact_rows(threshold, words)), docs.schema)
+    stay; null texts stay null; words as in scan_secrets."""
+    out = docs.mapInArrow(lean(_redact_rows(threshold, _known(docs, words, "text"))), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
