@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import staged
+from registrum.llm._shared import scratch, staged
 
 
 def _stars(links: DataFrame, small: bool) -> DataFrame:
@@ -26,14 +26,15 @@ def _state(links: DataFrame) -> tuple:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component): every node of the links (u, v) with the least node that it is joined to. Only links are
-    shuffled; minima are pre-aggregated, so a node with very many links is no single task. Empty in, empty out."""
-    now = staged(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(now)
-    while True:
-        now = staged(_stars(_stars(now, small=False), small=True), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    """(node, component), staged: every node of the links (u, v) with the least node that it is joined to. Only links are shuffled;
+    minima are pre-aggregated, and the links of a node with very many are split by the planner's skew join. Empty in, empty out."""
+    with scratch(links.sparkSession) as keep:
+        now = staged(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        state = _state(now)
+        while True:
+            now = staged(_stars(_stars(now, small=False), small=True), "links")
+            before, state = state, _state(now)
+            if state == before:
+                break
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return keep(staged(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import bounded, lean, staged
+from registrum.llm._shared import bounded, lean, scratch, staged, unused
 from registrum.llm.components import connected_components
 from registrum.llm.wordhash import mix, shingle_sets
 
@@ -291,35 +291,26 @@ def _leader_links(members: DataFrame, vectors: DataFrame, shared, settings: Sett
 
 
 def _block_links(members: DataFrame, vectors: DataFrame, shared, settings: Settings) -> DataFrame:
-    """Links between the components (part) of the nodes of each band. A band of n nodes is dealt into blocks, and each node goes
-    to every pair of blocks with its own: n * n / block rows, and as many links as components are joined."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(settings.block)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links between the components (part) of the nodes of each band. Both the nodes of a band's largest component and all others are
+    dealt into blocks; a node of the former goes to the pairs of its block with blocks of the others, and a node of those to
+    the pairs of its own with all blocks. Nodes of the largest component are not held against each other: a band of n nodes of which
+    m are not of it makes (n + m) * m / block rows and more only by the remainders, so a large group with few strays is linear."""
+    parts = members.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(settings.block)).cast("int")
+    sizes = sizes.select("band", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("n") - F.col("n_main")).alias("others"))
+    dealt = members.join(sizes, "band").withColumn("is_main", F.col("part") == F.col("main"))
+    own = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others")))
+    first = F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0))
+    dealt = dealt.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)))
     side = F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
     dealt = dealt.select("node", "band", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
     rows = dealt.join(vectors, "node").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     return staged(rows.mapInArrow(lean(_blocks_verified(shared, settings)), LINK), "verified")
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, links). classes has a row for each row of docs: key, node (digest of the text), class_id, the least key of its
-    class, and kept, true for exactly one row of each class. links has the verified pairs of different texts and their similarity.
-
-    Classes are the connected components of equal texts and verified links. Texts of fewer words than a shingle are one
-    shingle; a text without words matches nothing but equal texts; a null text matches nothing and is kept. Rows are told apart
-    by key and text, not by key alone; a null key comes after all others, and class_id is null where a class has no other.
-    Of repeated rows at most one is kept. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.unhex(F.md5(docs[text].cast("binary"))).alias("node"), docs[text].alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
-    shared = spark.sparkContext.broadcast(idf_table(rows, settings))
-    signed = rows.mapInArrow(lean(_sign(shared, settings)), "doc_id long, node binary, bands array<long>")
-    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    nodes = staged(signed.groupBy("node").agg(least.alias("first"), F.first("bands").alias("bands")).select("node", "first", F.col("first.doc_id").alias("first_id"), "bands"), "nodes")
-
+def _links(rows: DataFrame, nodes: DataFrame, shared, settings: Settings) -> DataFrame:
+    """Verified links (u, v, similarity) of the nodes (node, first_id, bands) whose texts are in rows."""
     banded = nodes.select("node", F.posexplode("bands").alias("no", "value")).select("node", F.xxhash64("no", "value").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     members = staged(banded.join(sizes, "band"), "members")
@@ -336,30 +327,51 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: st
     left = members.join(lead, ["band", "node"], "left_anti").join(parts, "node", "left")
     left = staged(left.select("band", "node", F.coalesce("component", "node").alias("part")), "left")
     apart = left.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-    more = _block_links(left.join(apart, "band"), vectors, shared, settings)
-    links = links.unionByName(more)
-    parts = connected_components(links.select("u", "v"))
+    return links.unionByName(_block_links(left.join(apart, "band"), vectors, shared, settings))
 
-    nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = nodes.groupBy("component").agg(F.min("first").alias("head"))
-    classed = staged(nodes.join(heads, "component").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row")), "classes")
-    mine = signed.select("doc_id", "node", "row").join(classed, "node").withColumn("kept", F.col("row") == F.col("head_row"))
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(classes, links). classes has a row for each row of docs: key, node (digest of the text), class_id, the least key of its
+    class, and kept, true for exactly one row of each class. links has the verified pairs of different texts and their similarity.
+
+    Classes are the connected components of equal texts and verified links. Texts of fewer words than a shingle are one
+    shingle; a text without words matches nothing but equal texts; a null text matches nothing and is kept. Rows are told apart
+    by key and text, not by key alone; a null key comes after all others, and class_id is null where a class has no other.
+    Of repeated rows at most one is kept. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.unhex(F.md5(docs[text].cast("binary"))).alias("node"), docs[text].alias("text"))
+    rows = rows.where(F.col("text").isNotNull())
+    shared = spark.sparkContext.broadcast(idf_table(rows, settings))
+    with scratch(spark) as keep:
+        signed = rows.mapInArrow(lean(_sign(shared, settings)), "doc_id long, node binary, bands array<long>")
+        signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+        nodes = staged(signed.groupBy("node").agg(least.alias("first"), F.first("bands").alias("bands")).select("node", "first", F.col("first.doc_id").alias("first_id"), "bands"), "nodes")
+        links = keep(staged(_links(rows, nodes, shared, settings), "links"))
+        parts = connected_components(links.select("u", "v"))
+        nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        heads = nodes.groupBy("component").agg(F.min("first").alias("head"))
+        classed = nodes.join(heads, "component").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"))
+        mine = signed.select("doc_id", "node", "row").join(classed, "node").withColumn("kept", F.col("row") == F.col("head_row"))
+        mine = keep(staged(mine.select("doc_id", "node", "class_id", "kept"), "classes"))
     others = docs.where(docs[text].isNull()).select(docs[key].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("node"), docs[key].cast("long").alias("class_id"), F.lit(True).alias("kept"))
-    every = mine.select("doc_id", "node", "class_id", "kept").unionByName(others)
-    return every.withColumnRenamed("doc_id", key), links
+    return mine.unionByName(others).withColumnRenamed("doc_id", key), links
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents without all but the first of each class; all columns stay. Repeated rows (doc_id and text) of that first are
-    one, whatever their other columns; rows that share a doc_id alone are judged by their own texts."""
-    classes, _ = near_duplicates(docs, settings)
-    pairs = classes.where(F.col("node").isNotNull()).groupBy(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"))
-    pairs = pairs.agg(F.bool_or("kept").alias("head"), F.count(F.lit(1)).alias("n"))
-    told = staged(pairs.where(~F.col("head") | (F.col("n") > 1)).select("its_id", "its_node", "head"), "told")
+    one, whatever their other columns; rows that share a doc_id alone are judged by their own texts. An empty table stays empty."""
+    its_id, its_node, node = (unused(docs, c) for c in ("its_id", "its_node", "node"))
+    with scratch(docs.sparkSession) as keep:
+        classes, _ = near_duplicates(docs, settings)
+        pairs = classes.where(F.col("node").isNotNull()).groupBy(F.col("doc_id").alias(its_id), F.col("node").alias(its_node))
+        pairs = pairs.agg(F.bool_or("kept").alias("head"), F.count(F.lit(1)).alias("n"))
+        told = keep(staged(pairs.where(~F.col("head") | (F.col("n") > 1)).select(its_id, its_node, "head"), "told"))
     drop, repeated = (told.where(c).drop("head") for c in (~F.col("head"), F.col("head")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.col("_node") == F.col("its_node"))
-    left = docs.withColumn("_node", F.unhex(F.md5(F.col("text").cast("binary")))).join(drop, same, "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)) & (F.col(node) == F.col(its_node))
+    left = docs.withColumn(node, F.unhex(F.md5(F.col("text").cast("binary")))).join(bounded(drop), same, "left_anti")
     if not repeated.isEmpty():
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", node])
         left = left.join(repeated, same, "left_anti").unionByName(once)
     return left.select(*docs.columns)
