@@ -198,7 +198,7 @@ class Tagger:
         return ",".join(f"{places[a][0]}:{places[b - 1][1]}:{self.model.langs[labels[a]]}" for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
-def _tagging(shared, with_spans: bool, letters: int = 2_000_000, with_text: bool = False):
+def _tagging(shared, with_spans: bool, letters: int = 2_000_000, with_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")):
     """Texts of a batch are taken by length, some `letters` at a time (a longer text alone): what is held follows that, and the
     steps that all take together are few where texts are short."""
 
@@ -213,7 +213,7 @@ def _tagging(shared, with_spans: bool, letters: int = 2_000_000, with_text: bool
                 part = batch.take(pa.array(order[at:to]))
                 rows = tagger.tag(part.column("text").to_pylist(), with_spans)
                 columns = {n: part.column(n) for n in part.schema.names if with_text or n != "text"}
-                columns |= {"lang_pred": pa.array([r[0] for r in rows], pa.string()), "score": pa.array([r[1] for r in rows], pa.float64())}
+                columns |= {names[0]: pa.array([r[0] for r in rows], pa.string()), names[1]: pa.array([r[1] for r in rows], pa.float64())}
                 yield pa.RecordBatch.from_pydict(columns | ({"spans": pa.array([r[2] for r in rows], pa.string())} if with_spans else {}))
                 at = to
 
@@ -233,8 +233,9 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     return rows.mapInArrow(lean(_tagging(shared, with_spans)), out).withColumnRenamed("k", key)
 
 
-def labelled(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs (with a column text) and its lang_pred and score, as identify tells them. Rows need no key: nothing is joined."""
+def labelled(docs: DataFrame, model: Model, *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Every row of docs (with a column text) and two more columns, the language and its share as identify tells them; their names
+    must be none of docs' own. Rows need no key: nothing is joined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(lean(_tagging(shared, False, with_text=True)), schema)
+    schema = StructType([*docs.schema, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(lean(_tagging(shared, False, with_text=True, names=(lang, score))), schema)
