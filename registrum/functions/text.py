@@ -1,51 +1,86 @@
 """Folding and tokens of names and queries, as Column expressions."""
 
+import functools
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from registrum.functions.constants import FOLDS, LEGAL_FORMS, QUERY_STOP
 
 #: White space between chunks.
-SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{_BLANK}]"
+#: Syllables that are written as two or three letters by rule: first one, letters of each place.
+_HANGUL, _LEAD, _VOWEL, _TAIL = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A8, 27)
 
 
-def fold_text(text: str) -> str:
-    """The exact fold of one text: explicit folds, compatibility decomposition, no non-spacing marks, lower case."""
+def _unmarked(text: str) -> str:
     text = unicodedata.normalize("NFKD", "".join(FOLDS.get(c, c) for c in text))
-    return "".join(c for c in text if unicodedata.category(c) != "Mn").lower()
+    return "".join(c for c in text if unicodedata.category(c) != "Mn")
 
 
-def _one_to_one() -> tuple[str, str]:
-    pairs = [(c, x) for c in map(chr, range(0x80, 0x2000)) if unicodedata.category(c) != "Cn" and len(x := fold_text(c)) == 1 and x != c]
-    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+def fold_text(text: str) -> str:
+    """The fold of one text: explicit folds, compatibility decomposition, no non-spacing marks, lower case."""
+    return _unmarked(text).lower()
 
 
-_FROM, _TO = _one_to_one()
-_LONG = {c: x for c in map(chr, range(0x80, 0x250)) if len(x := fold_text(c)) > 1}
+def _char_class(letters: list[str]) -> str:
+    """A pattern of these letters, in ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in runs) + "]"
 
 
-def fold(text: Column) -> Column:
-    """The fold of texts whose letters are below U+2000: a translation, no Python. fold_exact() takes the rest."""
-    wide = text
-    for c, x in _LONG.items():
-        wide = F.replace(wide, F.lit(c), F.lit(x))
-    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.category(c) == "Mn")
-    folded = F.lower(F.translate(wide, _FROM + marks, _TO))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded)
+@functools.cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to one letter (or, at the end of the list, to none) and to which, and those that fold to several; worked out by
+    the same rule as fold_text, letter by letter, but for case."""
+    one, gone, several = {}, [], {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if _HANGUL <= code < _HANGUL + 11172 or unicodedata.category(c) in ("Cn", "Cs", "Co"):
+            continue
+        x = _unmarked(c)
+        if not x:
+            gone.append(c)
+        elif len(x) > 1:
+            several[c] = x
+        elif x != c:
+            one[c] = x
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+def _letters(first: int, n: int) -> Column:
+    return F.lit("".join(map(chr, range(first, first + n))))
+
 
+def _spelled(text: Column) -> Column:
+    """Hangul syllables as their letters."""
 
-def _fold_series(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fold_text(t))
+    def letters(c: Column) -> Column:
+        n = F.ascii(c) - _HANGUL
+        at = lambda place, k: F.substr(_letters(*place), k + 1, F.lit(1))
+        tail = n % (_TAIL[1] + 1)
+        both = F.concat(at(_LEAD, F.floor(n / (_VOWEL[1] * (_TAIL[1] + 1)))), at(_VOWEL, F.floor(n / (_TAIL[1] + 1)) % _VOWEL[1]))
+        return F.when(c.between(chr(_HANGUL), chr(_HANGUL + 11171)), F.concat(both, F.when(tail > 0, at(_TAIL, tail - 1)).otherwise(F.lit("")))).otherwise(c)
 
+    return F.array_join(F.transform(F.split(text, ""), letters), "")
 
-def fold_exact(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with the exact fold of a column. Rows beyond the translation's reach take a branch of their own: Python inside a CASE would
-    see every row."""
-    far = F.coalesce(F.col(column).rlike(r"[\x{2000}-\x{10FFFF}]"), F.lit(False))
-    return df.where(~far).withColumn(out, fold(F.col(column))).unionByName(df.where(far).withColumn(out, F.pandas_udf(_fold_series, "string")(F.col(column))))
+
+def fold(text: Column) -> Column:
+    """The fold as a translation, without Python: lower case for texts of ASCII alone; else the letters that fold to several are looked
+    up and replaced, each once, and the others translated. Equal to fold_text for every text."""
+    source, target, several = _fold_tables()
+    met = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class(list(several))), F.lit(0)))
+    spelled = F.array(*map(F.lit, several.values()))
+    wide = F.aggregate(met, text, lambda a, c: F.replace(a, c, F.get(spelled, F.position(c, F.lit("".join(several))) - 1)))
+    wide = F.when(text.rlike(f"[\\x{{{_HANGUL:X}}}-\\x{{{_HANGUL + 11171:X}}}]"), _spelled(wide)).otherwise(wide)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.lower(F.translate(wide, source, target)))
 
 
 def chunks(folded: Column) -> Column:
@@ -67,9 +102,18 @@ def merge_single_letters(tokens: Column) -> Column:
     return F.filter(F.split(joined, " "), lambda x: x != "")
 
 
+#: A whole chunk of short runs, or a run.
+_TOKEN = rf"(?<![^{_BLANK}])[^a-z0-9{_BLANK}]*+[a-z0-9]{{1,2}}(?:[^a-z0-9{_BLANK}]++[a-z0-9]{{1,2}})++[^a-z0-9{_BLANK}]*+(?![^{_BLANK}])|[a-z0-9]+"
+
+
+def folded_tokens(folded: Column) -> Column:
+    """The words of a folded text: chunks of short runs joined, other runs apart, single letters merged. One pass takes both."""
+    listed = F.regexp_extract_all(folded, F.lit(_TOKEN), F.lit(0))
+    return merge_single_letters(F.transform(listed, lambda x: F.regexp_replace(x, "[^a-z0-9]+", "")))
+
+
 def query_tokens(query: Column) -> Column:
-    pieces = F.transform(chunks(fold(query)), lambda c: F.when(_short(_runs(c)), F.array(F.array_join(_runs(c), ""))).otherwise(_runs(c)))
-    return merge_single_letters(F.flatten(pieces))
+    return folded_tokens(fold(query))
 
 
 name_seq = query_tokens
@@ -77,7 +121,8 @@ name_seq = query_tokens
 
 def name_extras(name: Column) -> Column:
     """Spellings beside the sequence: joined chunks of several runs, and the runs of short ones; two characters at least."""
-    extra = F.transform(chunks(fold(name)), lambda c: F.when(_short(_runs(c)), _runs(c)).when(F.size(_runs(c)) >= 2, F.array(F.array_join(_runs(c), ""))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    extra = F.transform(F.transform(chunks(fold(name)), _runs), lambda r: F.when(_short(r), r).when(F.size(r) >= 2, F.array(F.array_join(r, ""))).otherwise(none))
     return F.filter(F.array_except(F.array_distinct(F.flatten(extra)), name_seq(name)), lambda x: F.length(x) >= 2)
 
 

@@ -93,3 +93,8 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, since: s
     w = Window.partitionBy(key).orderBy("t_", "side_", "v_").rowsBetween(Window.unboundedPreceding, 0)
     met = marked.unionByName(events).withColumn("found_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
     return met.select("row_.*", F.col("found_").alias(value))
+
+
+def neighbours(edges: DataFrame, one: str, other: str) -> DataFrame:
+    """Both directions of every edge, each once: what stands next to what."""
+    return edges.select(one, other).unionByName(edges.select(F.col(other).alias(one), F.col(one).alias(other))).distinct()

@@ -76,5 +76,19 @@ def first_by_precision(scored: DataFrame, precisions: dict[str, float]) -> DataF
     """(precision, qid, lei): each query's first of scored (qid, lei, match, prominence) with prominence kept in steps of a size, halves
     upwards."""
     kept = lambda step: F.floor(F.col("prominence") / step + 0.5) * step
-    each = F.array(*(F.struct(F.lit(n).alias("precision"), F.round(F.col("match") + (kept(s) if s else F.col("prominence")), 6).alias("s")) for n, s in precisions.items()))
+    each = F.array(*(F.struct(F.lit(n).alias("precision"), (F.col("match") + (kept(s) if s else F.col("prominence"))).alias("s")) for n, s in precisions.items()))
     return scored.select("qid", "lei", F.explode(each).alias("p")).groupBy("p.precision", "qid").agg(F.min_by("lei", F.struct(-F.col("p.s"), F.col("lei"))).alias("lei"))
+
+
+def keystrokes(texts: DataFrame, text: str) -> DataFrame:
+    """Every row of texts with k and typed: what has been typed after each keystroke."""
+    return texts.withColumn("k", F.explode(F.sequence(F.lit(1), F.length(text)))).where(F.col("k") <= F.length(text)).withColumn("typed", F.left(text, F.col("k")))
+
+
+def best_of_grid(found: DataFrame, grid: list[tuple[float, float]], base: Column) -> DataFrame:
+    """(wm, wf, qid, lei): each query's first of found (qid, lei, features, prominence) for every pair of weights of missing and misspelt
+    words. Features are worked out once; base is the score without these two."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("wm"), F.lit(f).alias("wf")) for m, f in grid))
+    out = found.withColumn("g", F.explode(pairs)).select("*", "g.wm", "g.wf")
+    score = base - F.col("wm") * F.col("n_miss") - F.col("wf") * F.col("n_fuzzy") + F.col("prominence")
+    return out.withColumn("score", score).groupBy("wm", "wf", "qid").agg(F.min_by("lei", F.struct(-F.col("score"), F.col("lei"))).alias("lei"))

@@ -22,16 +22,18 @@ def plan_shards(counts: DataFrame, split: int = SPLIT, depth: int = MAX_DEPTH) -
 
 
 def pack_files(shards: DataFrame, limit: int = FILE_POSTINGS) -> DataFrame:
-    """(shard, alone, file, lo): shards in order of their least term, a file closed before it would pass `limit` postings. One pass on
-    the driver over the list of shards, which the number of prefixes bounds, not that of postings."""
-    rows = shards.groupBy("shard", "alone").agg(F.min("term").alias("lo"), F.sum("cnt").alias("size")).orderBy("lo").collect()
-    out, file, filled = [], -1, 0
-    for r in rows:
-        if file < 0 or filled + r["size"] > limit:
-            file, filled = file + 1, 0
+    """(shard, alone, file, lo): shards in order of their least term, a file closed before it would pass `limit` postings. What a file holds
+    depends on all before it, so this is one pass over the shards in order; they stream to the driver a partition at a time, and only
+    the first shard of each file (a row of the index's manifest) is kept there."""
+    sizes = shards.groupBy("shard", "alone").agg(F.min("term").alias("lo"), F.sum("cnt").alias("size"))
+    firsts, filled = [], 0
+    for r in sizes.select("lo", "size").orderBy("lo").toLocalIterator(prefetchPartitions=True):
+        if not firsts or filled + r["size"] > limit:
+            firsts.append((len(firsts), r["lo"]))
+            filled = 0
         filled += r["size"]
-        out.append((r["shard"], r["alone"], file, r["lo"]))
-    return shards.sparkSession.createDataFrame(out, "shard string, alone boolean, file int, lo string")
+    table = shards.sparkSession.createDataFrame(firsts, "file int, lo string")
+    return file_of(sizes.select("shard", "alone", "lo"), table, F.col("lo"), "file").select("shard", "alone", "file", "lo")
 
 
 def files_of(postings: DataFrame, shards: DataFrame, files: DataFrame) -> DataFrame:
@@ -55,31 +57,53 @@ def bounds(files: DataFrame, capped: DataFrame) -> DataFrame:
 
 
 def file_of(words: DataFrame, table: DataFrame, word: Column, out: str) -> DataFrame:
-    """words with the file whose range holds a word; file 0 below the first bound. The routing table is broadcast: a row a file."""
-    t = F.broadcast(table.select(F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.col("file").alias("file_")))
-    met = words.join(t, (word >= F.col("lo_")) & (F.col("hi_").isNull() | (word < F.col("hi_"))), "left")
-    return met.withColumn(out, F.coalesce("file_", F.lit(0))).drop("lo_", "hi_", "file_")
+    """words with the file whose range holds a word: the last one whose first term is not behind it, file 0 below all. The bounds are one
+    sorted array, a row of the manifest for each file, that a subquery reads once; each word is found in it by halving."""
+    bounds = table.agg(F.sort_array(F.collect_list(F.struct("lo", "file"))).alias("bounds_")).scalar()
+    whole = words.withColumn("bounds_", bounds)
+    n = F.size("bounds_")
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below, open_ = F.get("bounds_", mid)["lo"] <= word, at["lo"] < at["hi"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(at["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda at: at["lo"])
+    return whole.withColumn(out, F.coalesce(F.get("bounds_", found - 1)["file"], F.lit(0))).drop("bounds_")
 
 
 def route(queries: DataFrame, table: DataFrame, *, paused: bool = True) -> DataFrame:
     """(qid, files) of queries (qid, tokens, in_progress): the files to read, in order. A word routes by its shortest prefix that lies in
-    one file; words whose files hold all their entities go first, then longer ones; two words at most."""
+    one file; words whose files hold all their entities go first, then longer ones; two words at most. A lone word too short for that
+    routes by itself once typing pauses."""
     words = queries.select("qid", "in_progress", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "word"))
     words = words.withColumn("open", F.col("in_progress") & (F.col("pos") == F.col("n") - 1))
     content = words.where(~T.is_stop(F.col("word")) & (F.length("word") >= MIN_CHARS))
     cuts = content.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(MIN_CHARS), F.length("word")), lambda i: F.left(F.col("word"), i))))
     spans = file_of(file_of(cuts, table, F.col("prefix"), "first"), table, F.concat("prefix", F.lit("\uffff")), "last")
-    narrow = spans.where(F.col("last") - F.col("first") + 1 <= MAX_SPAN).groupBy("qid", "pos").agg(F.min_by("first", F.length("prefix")).alias("narrow"))
-    placed = file_of(content, table, F.col("word"), "own").join(narrow, ["qid", "pos"], "left")
+    inside = F.col("last") - F.col("first") + 1 <= MAX_SPAN
+    # the whole word is the last of its prefixes
+    placed = spans.groupBy("qid", "pos").agg(F.first("word").alias("word"), F.first("open").alias("open"), F.min_by("first", F.when(inside, F.length("prefix"))).alias("narrow"), F.max_by("first", F.length("prefix")).alias("own"))
     placed = placed.withColumn("file", F.coalesce("narrow", F.when(~F.col("open") | F.lit(paused), F.col("own")))).where(F.col("file").isNotNull())
-    known = placed.join(F.broadcast(table.select("file", "capped")), "file", "left")
+    known = placed.join(table.select("file", "capped"), "file", "left")
     known = known.withColumn("full", ~F.coalesce("capped", F.lit(False)) & (F.col("narrow").isNotNull() | ~F.col("open")))
     order = Window.partitionBy("qid").orderBy(F.col("full").desc(), F.length("word").desc(), "pos")
     anchors = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_ANCHORS)
     listed = anchors.groupBy("qid").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("nth", "file"))), lambda x: x["file"])).alias("files"))
-    lone = file_of(words.where((F.col("n") == 1) & (F.length("word") >= 2)), table, F.col("word"), "own").select("qid", F.when(F.lit(paused), F.array("own")).alias("lone"))
     none = F.array().cast("array<int>")
-    return queries.select("qid").join(listed, "qid", "left").join(lone, "qid", "left").select("qid", F.coalesce("files", "lone", none).alias("files"))
+    out = queries.join(listed, "qid", "left")
+    if paused:
+        first = F.get("tokens", F.lit(0))
+        lone = F.when((F.size("tokens") == 1) & (F.length(first) >= 2), F.array("own"))
+        out = file_of(out, table, first, "own").withColumn("files", F.coalesce("files", lone))
+    return out.select("qid", F.coalesce("files", none).alias("files"))
+
+
+def candidates(routed: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, lei): what the files that queries (qid, files) route to hold, each once. An index partitioned by file is read only where a
+    query routes."""
+    return routed.select("qid", F.explode("files").alias("file")).join(index.select("file", "lei"), "file").select("qid", "lei").distinct()
 
 
 def _gzip_sizes(texts):

@@ -55,28 +55,32 @@ def vocabulary_levels(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return levels(prefix.unionByName(fuzzy).distinct()).where(F.col("level") > 0)
 
 
+def _content(tokens: Column, word: Column) -> Column:
+    """Whether a word counts: no stop word, or one of a query that has no others."""
+    return F.forall(tokens, T.is_stop) | ~T.is_stop(word)
+
+
 def features(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Match features of every query (qid, tokens) with every name (lei, name_no, seq, extras) that shares a word with it: n, shown,
-    n_miss, n_fuzzy, n_exact, exact, prefix, coverage, base_exact. Names that no word leads to aren't listed."""
-    words = queries.select("qid", "tokens", F.size("tokens").alias("n"), F.posexplode("tokens").alias("q_pos", "q"))
-    words = words.withColumn("all_stop", F.forall("tokens", lambda x: T.is_stop(x)))
+    n_miss, n_fuzzy, n_exact, exact, prefix, coverage, base_exact. Names that no word leads to aren't listed. Two aggregations, by word
+    and by name, and one join each with queries and names after them."""
+    words = queries.select("qid", "tokens", F.posexplode("tokens").alias("q_pos", "q")).select("qid", "q_pos", "q", _content(F.col("tokens"), F.col("q")).alias("content"))
     seq = names.select("lei", "name_no", F.posexplode("seq").alias("pos", "t"))
     extra = names.select("lei", "name_no", F.explode("extras").alias("t")).withColumn("pos", F.lit(-1))
     terms = seq.unionByName(extra)
     level = vocabulary_levels(words.select("q"), terms.select("t"))
     # an extra spelling wins only by a higher level; of equal words the first counts
-    best = words.join(level, "q").join(terms, "t").groupBy("qid", "lei", "name_no", "q_pos").agg(F.max(F.struct("level", (F.col("pos") >= 0).alias("own"), (-F.col("pos")).alias("back"))).alias("b"))
-    met = best.join(words, ["qid", "q_pos"])
-    content = F.col("all_stop") | ~T.is_stop(F.col("q"))
-    sums = met.groupBy("qid", "lei", "name_no").agg(
-        F.max(content).alias("shown"),
-        F.count_if(content).alias("n_content"),
+    found = F.max(F.struct("level", (F.col("pos") >= 0).alias("own"), (-F.col("pos")).alias("back"))).alias("b")
+    best = words.join(level, "q").join(terms, "t").groupBy("qid", "lei", "name_no", "q_pos").agg(found, F.max("content").alias("content"))
+    sums = best.groupBy("qid", "lei", "name_no").agg(
+        F.max("content").alias("shown"),
+        F.count_if("content").alias("n_content"),
         F.count_if(F.col("b.level") == 1).alias("n_fuzzy"),
         F.count_if(F.col("b.level") == 3).alias("n_exact"),
         F.size(F.collect_set(F.when(F.col("b.own"), F.col("b.back")))).alias("n_pos"),
     )
-    needed = words.groupBy("qid").agg(F.count_if(content).alias("n_needed"))
-    out = sums.join(queries.select("qid", "tokens"), "qid").join(needed, "qid").join(names.select("lei", "name_no", "seq"), ["lei", "name_no"])
+    needed = F.size(F.filter("tokens", lambda x: _content(F.col("tokens"), x))).alias("n_needed")
+    out = sums.join(queries.select("qid", "tokens", needed), "qid").join(names.select("lei", "name_no", "seq"), ["lei", "name_no"])
     n, m = F.size("tokens"), F.size("seq")
     zipped = F.zip_with("tokens", "seq", lambda a, b: a.eqNullSafe(b) & a.isNotNull())
     same = F.aggregate(zipped, F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda a, x: F.struct((a["k"] + F.when(a["on"] & x, 1).otherwise(0)).alias("k"), (a["on"] & x).alias("on")), lambda a: a["k"])
@@ -91,10 +95,15 @@ def features(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def match_score(w: dict[str, float] = MATCH) -> Column:
-    """The score of one name from its features, in a fixed order of operations; null if it is not shown."""
+    """The score of one name from its features, in a fixed order of operations; null if it is not shown. Optional weights: order, for
+    names whose words stand in the query's order from their first on, and alt, for names that are not the legal one (name_no > 0)."""
     on = lambda c, x: F.when(F.col(c), F.lit(x)).otherwise(F.lit(0.0))
     s = F.when(F.col("n_miss") == 0, F.lit(w["all"])).otherwise(F.lit(0.0)) - F.lit(w["miss"]) * F.col("n_miss") - F.lit(w["fuzzy"]) * F.col("n_fuzzy")
     s = s + (F.lit(w["exact"]) * F.col("n_exact")) / F.col("n") + on("exact", w["core_exact"]) + on("prefix", w["prefix"]) + F.lit(w["coverage"]) * F.col("coverage") + on("base_exact", w["base_exact"])
+    if w.get("order"):
+        s = s + F.when((F.col("n") > 1) & (F.col("prefix") | F.col("exact")), F.lit(w["order"])).otherwise(F.lit(0.0))
+    if w.get("alt"):
+        s = s + F.when(F.col("name_no") > 0, F.lit(w["alt"])).otherwise(F.lit(0.0))
     return F.when(F.col("shown"), s)
 
 
@@ -107,13 +116,37 @@ def initials_hits(queries: DataFrame, names: DataFrame, entities: DataFrame, w:
     return q.join(known, "short").select("qid", "lei", F.lit(w["initials"]).alias("match"))
 
 
-def top_k(queries: DataFrame, names: DataFrame, entities: DataFrame, k: int, w: dict[str, float] = MATCH) -> DataFrame:
-    """(qid, lei, score, rank): the k best entities (lei, prominence) of each query, by best name plus prominence, then lei. Names with
-    a column initials are found by those too, which count as the better of both matches."""
-    scored = features(queries, names).withColumn("match", match_score(w)).where(F.col("match").isNotNull()).select("qid", "lei", "match")
+def _shape() -> Column:
+    """What a name's score depends on, as one text: its words and extra spellings."""
+    return F.concat_ws("\t", F.array_join("seq", " "), F.array_join("extras", " "))
+
+
+def name_scores(queries: DataFrame, names: DataFrame, w: dict[str, float] = MATCH) -> DataFrame:
+    """(qid, shape, match) of all names that are shown, each distinct name once however many entities have it."""
+    shapes = names.groupBy(_shape().alias("lei")).agg(F.first("seq").alias("seq"), F.first("extras").alias("extras")).withColumn("name_no", F.lit(0))
+    return features(queries, shapes).select("qid", F.col("lei").alias("shape"), match_score(w).alias("match")).where(F.col("match").isNotNull())
+
+
+def top_k(queries: DataFrame, names: DataFrame, entities: DataFrame, k: int, w: dict[str, float] = MATCH, pool: DataFrame | None = None) -> DataFrame:
+    """(qid, lei, score, rank): the k best entities (lei, prominence) of each query, by best name plus prominence, then lei; of those in
+    the pool (qid, lei), if one is given. Names with a column initials are found by those too, which count as the better of both matches.
+
+    Distinct names are scored once. Without a pool only the k most prominent entities of each distinct name are looked at: any other
+    stands behind k entities with the same name. Ranks go by the unrounded score, which is rounded to be shown.
+    """
+    owners = names.select(_shape().alias("shape"), "lei").distinct().join(entities.select("lei", "prominence"), "lei")
+    scored = name_scores(queries, names, w)
+    if pool is None:
+        first = Window.partitionBy("shape").orderBy(F.col("prominence").desc(), "lei")
+        owners = owners.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).drop("nth")
+        found = scored.join(owners, "shape").select("qid", "lei", "match", "prominence")
+    else:
+        found = pool.select("qid", "lei").distinct().join(owners, "lei").join(scored, ["qid", "shape"]).select("qid", "lei", "match", "prominence")
     if "initials" in names.columns:
-        scored = scored.unionByName(initials_hits(queries, names, entities, w))
-    best = scored.groupBy("qid", "lei").agg(F.max("match").alias("match")).join(entities.select("lei", "prominence"), "lei")
+        hits = initials_hits(queries, names, entities, w).join(entities.select("lei", "prominence"), "lei")
+        hits = hits if pool is None else hits.join(pool.select("qid", "lei"), ["qid", "lei"], "left_semi")
+        found = found.unionByName(hits)
+    best = found.groupBy("qid", "lei").agg((F.max("match") + F.first("prominence")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "lei")
-    ranked = best.withColumn("score", F.round(F.col("match") + F.col("prominence"), 6)).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("qid", "lei", "score", "rank")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("qid", "lei", F.round("score", 6).alias("score"), "rank")

@@ -14,16 +14,20 @@ from registrum.operators import publish as P
 from registrum.plans import tables
 from registrum.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from registrum.plans.tables import table
+from registrum.session import written
 from registrum.streaming import sessions as S
 
-TYPED = ("cold widget", "cold wid", "hot", "widget", "small gear", "smal gear", "gaer large", "red", "blue bolt", "blu", "large", "gear of", "the bolt", "new pipe", "old", "green valve", "valve", "wdiget", "bolt red", "metal")
 CODES = ("529900GRZ2BQY5ZM9N49", "HWUPKR0MPOU8FGXBT394", "HWUPKR0MPOU8FGXBT395", "US92204Q1031", "US0378331005", "US0378331006", "PLING0100027", "LBTCUS44XXX", "ERICSSON", "ERICQQON", "LBTCUS44X", "5299 00GR Z2BQ Y5ZM 9N49", "Sony Corp", "TEER SE SS XXX", "556016-0680", "HRB 86891", "SC123456", "12345", "Fund 2021", "AB1234", "")
 COUNTRIES = ["US", "SE", "CS", "DE", "GB", "FR", "NL"]
 NAMES = ("Skandinaviska Enskilda Banken AB (publ)", "BP P.L.C.", "SAS AB", "AB", "Acme GmbH & Co. KG", "Royal Bank of Canada", "International Business Machines Corporation", "The Hongkong and Shanghai Banking Corporation Limited", "AT&T", "Coca-Cola", "L M Ericsson", "H & M", "a b c d", "3M Company", "Deutsche Bank AG")
 
 
-def _typed(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(TYPED)), "qid int, query string")
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is typed: the name of every fiftieth part as it is, without its last two letters, and with two letters swapped."""
+    name, id_ = F.col("p_name"), F.col("p_partkey")
+    swapped = F.concat(F.left(name, F.lit(1)), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substr(name, F.lit(4), F.lit(1_000)))
+    kinds = F.array(name, F.left(name, F.length(name) - 2), swapped)
+    rows = table(spark, sf_dir, "part").where(id_ % 50 == 0).select(id_, F.posexplode(kinds).alias("k", "query")).select((id_ * 4 + F.col("k")).alias("qid"), "query")
     return rows.select("qid", "query", T.query_tokens(F.col("query")).alias("tokens"), T.last_is_prefix(F.col("query")).alias("in_progress"))
 
 
@@ -33,7 +37,7 @@ def _values(rows) -> str:
 
 _STOP = ", ".join(f"'{w}'" for w in "the of and de du des la le les der die das und et y for in van von di del da do a an".split())
 _TYPED_SQL = f"""
-typed AS (SELECT qid, string_split(query, ' ') AS tokens FROM (VALUES {_values(enumerate(TYPED))}) v(qid, query)),
+typed AS (SELECT qid, query, string_split(trim(query), ' ') AS tokens, NOT regexp_matches(query, '\\s$') AS in_progress FROM (SELECT p_partkey * 4 + k AS qid, CASE k WHEN 0 THEN p_name WHEN 1 THEN left(p_name, length(p_name) - 2) ELSE left(p_name, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) END AS query FROM part, (VALUES (0), (1), (2)) v(k) WHERE p_partkey % 50 = 0)),
 q AS (SELECT qid, tokens, len(tokens) AS n, unnest(range(1, len(tokens) + 1)) AS p FROM typed),
 w AS (SELECT qid, tokens, n, p, tokens[p] AS q, len(list_filter(tokens, lambda x: x NOT IN ({_STOP}))) = 0 AS all_stop FROM q),
 names AS (SELECT p_partkey AS lei, string_split(p_name, ' ') AS seq, round(p_retailprice / 1000, 1) AS prominence FROM part),
@@ -47,37 +51,43 @@ need AS (SELECT qid, count(*) FILTER (all_stop OR q NOT IN ({_STOP})) AS n_neede
 f AS (SELECT qid, lei, len(tokens) AS n, shown, n_needed - n_content AS n_miss, n_fuzzy, n_exact, tokens = seq AS exact, prominence,
     len(tokens) <= len(seq) AND tokens[:len(tokens) - 1] = seq[:len(tokens) - 1] AND starts_with(seq[len(tokens)], tokens[len(tokens)]) AS prefix, n_pos / greatest(1, len(seq)) AS coverage
   FROM s JOIN typed USING (qid) JOIN need USING (qid) JOIN names USING (lei)),
-scored AS (SELECT qid, lei, round((CASE WHEN n_miss = 0 THEN 2.59 ELSE 0 END) - 4.83 * n_miss - 1.19 * n_fuzzy + 2.96 * n_exact / n + (CASE WHEN exact THEN 0.55 ELSE 0 END) + (CASE WHEN prefix THEN 0.84 ELSE 0 END) + 2.26 * coverage + prominence, 6) AS score FROM f WHERE shown),
-hits AS (SELECT qid, lei, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, lei) AS rank FROM scored)
+scored AS (SELECT qid, lei, prominence, (CASE WHEN n_miss = 0 THEN 2.59e0 ELSE 0e0 END) - 4.83e0 * n_miss - 1.19e0 * n_fuzzy + 2.96e0 * n_exact / n + (CASE WHEN exact THEN 0.55e0 ELSE 0e0 END) + (CASE WHEN prefix THEN 0.84e0 ELSE 0e0 END) + 2.26e0 * coverage AS match FROM f WHERE shown),
+hits AS (SELECT qid, lei, match + prominence AS score, row_number() OVER (PARTITION BY qid ORDER BY match + prominence DESC, lei) AS rank FROM scored)
 """
 
 
-@query("WITH " + _TYPED_SQL + "SELECT qid, lei, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10")
+@query("WITH " + _TYPED_SQL + "SELECT qid, lei, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10")
 def flagship_search(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    return M.top_k(_typed(spark), names, names, 10)
+    return M.top_k(_typed(spark, sf_dir), names, names, 10)
 
 
 @query("WITH " + _TYPED_SQL + "SELECT qid, lei, n, shown, n_miss, n_fuzzy, n_exact, exact, prefix, round(coverage, 6) AS coverage FROM f")
 def match_features(spark, sf_dir):
-    found = M.features(_typed(spark), tables.parts(spark, sf_dir))
+    found = M.features(_typed(spark, sf_dir), tables.parts(spark, sf_dir))
     return found.select("qid", "lei", "n", "shown", "n_miss", "n_fuzzy", "n_exact", "exact", "prefix", F.round("coverage", 6).alias("coverage"))
 
 
 @query("WITH " + _TYPED_SQL + "SELECT q, t, level FROM lv WHERE level > 0")
 def match_level(spark, sf_dir):
-    q = _typed(spark).select(F.explode("tokens").alias("q"))
+    q = _typed(spark, sf_dir).select(F.explode("tokens").alias("q"))
     return M.vocabulary_levels(q, tables.parts(spark, sf_dir).select(F.explode("seq").alias("t")))
 
 
-_RANKED = "targets AS (SELECT (p_partkey % 20) AS qid, CASE WHEN p_size % 3 = 0 THEN 'head' WHEN p_size % 3 = 1 THEN 'torso' ELSE 'tail' END AS stratum, p_partkey AS lei FROM part WHERE p_partkey % 7 = 0), r AS (SELECT qid, stratum, min(rank) AS rank FROM targets LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (qid, lei) GROUP BY ALL), ql AS (SELECT stratum, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 9) AS s1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS s5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 9) AS s10 FROM r GROUP BY 1) "
+#: Every part is a target: of the query of the last fiftieth part up to it, whole, cut or misspelt in turn.
+_TARGETS = "targets AS (SELECT greatest(p_partkey // 50 * 50, 50) * 4 + p_partkey % 3 AS qid, CASE WHEN p_size % 3 = 0 THEN 'head' WHEN p_size % 3 = 1 THEN 'torso' ELSE 'tail' END AS stratum, p_partkey AS lei FROM part)"
+_RANKED = _TARGETS + ", r AS (SELECT qid, stratum, min(rank) AS rank FROM targets LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (qid, lei) GROUP BY ALL), ql AS (SELECT stratum, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 9) AS s1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS s5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 9) AS s10 FROM r GROUP BY 1) "
+
+
+def _targets(spark, sf_dir):
+    kind, id_ = F.col("p_size") % 3, F.col("p_partkey")
+    qid = F.greatest(F.floor(id_ / 50) * 50, F.lit(50)) * 4 + id_ % 3
+    return table(spark, sf_dir, "part").select(qid.cast("long").alias("qid"), F.when(kind == 0, "head").when(kind == 1, "torso").otherwise("tail").alias("stratum"), id_.alias("lei"))
 
 
 def _ranks(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    kind = F.col("p_size") % 3
-    t = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select((F.col("p_partkey") % 20).cast("int").alias("qid"), F.when(kind == 0, "head").when(kind == 1, "torso").otherwise("tail").alias("stratum"), F.col("p_partkey").alias("lei"))
-    return V.target_ranks(M.top_k(_typed(spark), names, names, 50), t)
+    return V.target_ranks(M.top_k(_typed(spark, sf_dir), names, names, 50), _targets(spark, sf_dir))
 
 
 @query("WITH " + _TYPED_SQL + ", " + _RANKED + "SELECT stratum, n, mrr, s1, s5, s10 FROM ql")
@@ -114,8 +124,21 @@ m AS (SELECT doc_id, grp, string_agg(w, '' ORDER BY i) AS token FROM g GROUP BY
 SELECT doc_id, count(*) AS n, sha256(string_agg(token, ' ' ORDER BY grp)) AS tokens FROM m GROUP BY 1
 """)
 def name_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.name_seq(F.col("text")).alias("seq"))
-    return d.select("doc_id", F.size("seq").cast("long").alias("n"), F.sha2(F.array_join("seq", " "), 256).alias("tokens")).where("n > 0")
+    # dealt out of an array of one: a plain projection would be worked out again for each use of it
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.name_seq(F.col("text")))).alias("seq"))
+    return d.where(F.size("seq") > 0).select("doc_id", F.size("seq").cast("long").alias("n"), F.sha2(F.array_join("seq", " "), 256).alias("tokens"))
+
+
+#: Fixed values of the query: the letters a to z and their full-width forms.
+_NARROW, _WIDE = "".join(map(chr, range(97, 123))), "".join(map(chr, range(0xFF41, 0xFF5B)))
+
+
+@query("SELECT p_partkey, lower(p_name) || ' finance flow xii co ' || p_size AS folded, sha256(array_to_string(list_concat(string_split(lower(p_name), ' '), ['finance', 'flow', 'xii', 'co', CAST(p_size AS VARCHAR)]), ' ')) AS tokens FROM part")
+def folded_names(spark, sf_dir):
+    name = F.concat(F.translate("p_name", _NARROW, _WIDE), F.lit("\u3000\ufb01nance\u2009\ufb02ow\u00a0\u216b\u2028C\u2134\u0301 "), F.col("p_size").cast("string"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(name)).alias("name"))
+    spaces = F.regexp_replace(T.fold(F.col("name")), T.SPACE + "+", " ")
+    return p.select("p_partkey", spaces.alias("folded"), F.sha2(F.array_join(T.query_tokens(F.col("name")), " "), 256).alias("tokens"))
 
 
 @query()
@@ -281,33 +304,54 @@ def routing_table(spark, sf_dir):
     return X.bounds(files, capped)
 
 
-@query(f"WITH RECURSIVE {_FILES}, ws AS (SELECT DISTINCT split_part(text, ' ', 1) AS word FROM documents) SELECT word, coalesce(file, 0) AS file FROM ws ASOF LEFT JOIN tb ON ws.word >= tb.lo")
+@query(f"WITH RECURSIVE {_FILES}, ws AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, coalesce(file, 0) AS file FROM ws ASOF LEFT JOIN tb ON ws.word >= tb.lo")
 def file_of_word(spark, sf_dir):
     capped, files = _capped(spark, sf_dir)
-    w = table(spark, sf_dir, "documents").select(F.substring_index("text", " ", 1).alias("word")).distinct()
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return X.file_of(w, X.bounds(files, capped), F.col("word"), "file")
 
 
-@query()
-def route_paused(spark, sf_dir):
+def _route_sql(paused: bool) -> str:
+    return f"""
+cw AS (SELECT qid, p - 1 AS pos, tokens[p] AS word, in_progress AND p = len(tokens) AS open FROM (SELECT qid, tokens, in_progress, unnest(range(1, len(tokens) + 1)) AS p FROM typed) WHERE length(tokens[p]) >= 3 AND tokens[p] NOT IN ({_STOP})),
+px AS (SELECT *, left(word, l) AS prefix FROM (SELECT *, unnest(range(3, length(word) + 1)) AS l FROM cw)),
+pf AS (SELECT px.*, coalesce(tb.file, 0) AS first FROM px ASOF LEFT JOIN tb ON px.prefix >= tb.lo),
+pl AS (SELECT pf.*, coalesce(tb.file, 0) AS last FROM (SELECT *, prefix || chr(65535) AS far FROM pf) pf ASOF LEFT JOIN tb ON pf.far >= tb.lo),
+aw AS (SELECT qid, pos, word, open, arg_min(first, l) FILTER (last = first) AS narrow, arg_max(first, l) AS own FROM pl GROUP BY ALL),
+af AS (SELECT *, coalesce(narrow, CASE WHEN {paused} OR NOT open THEN own END) AS file FROM aw),
+an AS (SELECT qid, file, row_number() OVER (PARTITION BY qid ORDER BY NOT coalesce(capped, false) AND (narrow IS NOT NULL OR NOT open) DESC, length(word) DESC, pos) AS nth FROM af LEFT JOIN (SELECT file, capped FROM tb) USING (file) WHERE file IS NOT NULL),
+ls AS (SELECT qid, string_agg(CAST(file AS VARCHAR), ',' ORDER BY nth) AS files FROM (SELECT qid, file, min(nth) AS nth FROM an WHERE nth <= 2 GROUP BY 1, 2) GROUP BY 1),
+lw AS (SELECT qid, tokens[1] AS word, len(tokens) = 1 AND length(tokens[1]) >= 2 AND {paused} AS lone FROM typed),
+lf AS (SELECT lw.qid, CASE WHEN lone THEN CAST(coalesce(tb.file, 0) AS VARCHAR) ELSE '' END AS lone FROM lw ASOF LEFT JOIN tb ON lw.word >= tb.lo),
+routed AS (SELECT qid, coalesce(files, lone) AS files FROM lf LEFT JOIN ls USING (qid))"""
+
+
+def _routed(spark, sf_dir, paused: bool):
     capped, files = _capped(spark, sf_dir)
-    return X.route(_typed(spark), X.bounds(files, capped), paused=True)
+    return X.route(_typed(spark, sf_dir), X.bounds(files, capped), paused=paused), capped
 
 
-@query()
+@query("WITH RECURSIVE " + _FILES + "," + _TYPED_SQL + "," + _route_sql(True) + " SELECT qid, files FROM routed")
+def route_paused(spark, sf_dir):
+    return _routed(spark, sf_dir, True)[0].select("qid", F.array_join("files", ",").alias("files"))
+
+
+@query("WITH RECURSIVE " + _FILES + "," + _TYPED_SQL + "," + _route_sql(False) + " SELECT qid, files FROM routed")
 def route_typing(spark, sf_dir):
-    capped, files = _capped(spark, sf_dir)
-    return X.route(_typed(spark), X.bounds(files, capped), paused=False)
+    return _routed(spark, sf_dir, False)[0].select("qid", F.array_join("files", ",").alias("files"))
 
 
-@query()
+_POOL_SQL = "pool AS (SELECT DISTINCT qid, lei FROM (SELECT qid, CAST(unnest(string_split(files, ',')) AS INTEGER) AS file FROM routed WHERE files <> '') JOIN capd USING (file))"
+
+
+@query("WITH RECURSIVE " + _FILES + "," + _TYPED_SQL + "," + _route_sql(True) + f", {_POOL_SQL}, rs AS (SELECT qid, lei, match + prominence AS score, row_number() OVER (PARTITION BY qid ORDER BY match + prominence DESC, lei) AS rank FROM scored JOIN pool USING (qid, lei)) SELECT qid, lei, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rs WHERE rank <= 10")
 def routed_search(spark, sf_dir):
-    capped, files = _capped(spark, sf_dir)
-    routed = X.route(_typed(spark), X.bounds(files, capped)).select("qid", F.explode("files").alias("file"))
-    pool = routed.join(capped, "file").select("qid", "lei").distinct()
+    """The index is written by file; only the files that a query routes to are read, by partition pruning."""
+    routed, capped = _routed(spark, sf_dir, True)
+    path = written(capped.select("lei", "file"), "index", "file")
+    pool = X.candidates(routed, spark.read.parquet(path))
     names = tables.parts(spark, sf_dir)
-    scored = M.features(_typed(spark), names).withColumn("match", M.match_score()).where("match IS NOT NULL").join(pool, ["qid", "lei"], "left_semi")
-    return scored.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("match"), 6).alias("best"))
+    return M.top_k(_typed(spark, sf_dir), names, names, 10, pool=pool)
 
 
 @query("SELECT o_custkey, o_orderkey, (SELECT max_by(e.event_type, (e.ts, e.event_id)) FROM events e WHERE e.user_id = o_custkey AND e.ts <= o_orderdate) AS event_type FROM orders")
@@ -364,10 +408,9 @@ def rate_hold(spark, sf_dir):
     return S.held(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("value") > 80, "1 hour").select("event_id", "held")
 
 
-@query("SELECT item_id, k, left(text, k) AS typed FROM (SELECT item_id, text, unnest(range(1, length(split_part(text, ' ', 1)) + 1)) AS k FROM benchmark)")
+@query("SELECT p_partkey, k, left(p_name, k) AS typed FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS k FROM part)")
 def keystroke_sessions(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", "text", F.explode(F.sequence(F.lit(1), F.length(F.substring_index("text", " ", 1)))).alias("k")).select("item_id", "k", F.left("text", F.col("k")).alias("typed"))
+    return V.keystrokes(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "k", "typed")
 
 
 @query("SELECT a.p_partkey, CASE WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM part a LEFT JOIN (SELECT p_partkey AS p, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 9 <> 0) b ON a.p_partkey = b.p WHERE b.p IS NULL OR b.s <> a.p_size")
@@ -419,10 +462,10 @@ def unique_names_tail(spark, sf_dir):
     return once.select("doc_id")
 
 
-@query("SELECT DISTINCT a, b FROM (SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT DISTINCT a, b FROM (SELECT o_orderkey AS a, o_custkey AS b FROM orders UNION ALL SELECT o_custkey, o_orderkey FROM orders)")
 def lenient_targets(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    return E.neighbours(edges, "a", "b")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -437,13 +480,10 @@ def codes_json(spark, sf_dir):
 
 
 @query("WITH " + _TYPED_SQL + """, g2 AS (SELECT CAST(wm AS DOUBLE) AS wm, CAST(wf AS DOUBLE) AS wf FROM (SELECT unnest([2.0, 4.83]) AS wm), (SELECT unnest([0.5, 1.19]) AS wf)),
-sg AS (SELECT wm, wf, qid, lei, round((CASE WHEN n_miss = 0 THEN 2.59 ELSE 0 END) - wm * n_miss - wf * n_fuzzy + 2.96 * n_exact / n + (CASE WHEN exact THEN 0.55 ELSE 0 END) + (CASE WHEN prefix THEN 0.84 ELSE 0 END) + 2.26 * coverage + prominence, 6) AS score FROM f, g2 WHERE shown)
+sg AS (SELECT wm, wf, qid, lei, (CASE WHEN n_miss = 0 THEN 2.59e0 ELSE 0e0 END) + 2.96e0 * n_exact / n + (CASE WHEN exact THEN 0.55e0 ELSE 0e0 END) + (CASE WHEN prefix THEN 0.84e0 ELSE 0e0 END) + 2.26e0 * coverage - wm * n_miss - wf * n_fuzzy + prominence AS score FROM f, g2 WHERE shown)
 SELECT wm, wf, qid, lei FROM (SELECT *, row_number() OVER (PARTITION BY wm, wf, qid ORDER BY score DESC, lei) AS k FROM sg) WHERE k = 1""")
 def weight_grid(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    found = M.features(_typed(spark), names).join(names.select("lei", "prominence"), "lei")
-    grid = F.array(*(F.struct(F.lit(m).alias("wm"), F.lit(f).alias("wf")) for m in (2.0, 4.83) for f in (0.5, 1.19)))
-    out = found.withColumn("g", F.explode(grid)).select("*", "g.wm", "g.wf").where("shown")
-    base = M.match_score(M.MATCH | {"miss": 0.0, "fuzzy": 0.0})
-    score = F.round(base - F.col("wm") * F.col("n_miss") - F.col("wf") * F.col("n_fuzzy") + F.col("prominence"), 6)
-    return out.withColumn("score", score).groupBy("wm", "wf", "qid").agg(F.min_by("lei", F.struct(-F.col("score"), F.col("lei"))).alias("lei"))
+    found = M.features(_typed(spark, sf_dir), names).where("shown").join(names.select("lei", "prominence"), "lei")
+    grid = [(m, f) for m in (2.0, 4.83) for f in (0.5, 1.19)]
+    return V.best_of_grid(found, grid, M.match_score(M.MATCH | {"miss": 0.0, "fuzzy": 0.0}))

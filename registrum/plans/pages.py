@@ -139,15 +139,15 @@ def register_lookup(spark, sf_dir):
     return C.find_by_register_number(asked, c.select(F.col("c_custkey").alias("lei"), F.col("c_name").alias("register_number")))
 
 
-@query("""WITH l AS (SELECT o_custkey AS qid, l_suppkey AS lei, min(l_linenumber) AS first, string_agg(DISTINCT CASE l_linenumber WHEN 1 THEN 'isin' WHEN 2 THEN 'lei' ELSE 'reg.no' END, ' · ' ORDER BY CASE l_linenumber WHEN 1 THEN 'isin' WHEN 2 THEN 'lei' ELSE 'reg.no' END) AS via FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY 1, 2),
+@query("""WITH l AS (SELECT o_custkey AS qid, l_suppkey AS lei, min(l_linenumber) AS first, string_agg(DISTINCT ['bic', 'isin', 'lei', 'mic', 'name', 'number', 'reg.no'][l_linenumber], ' · ' ORDER BY ['bic', 'isin', 'lei', 'mic', 'name', 'number', 'reg.no'][l_linenumber]) AS via FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 h AS (SELECT o_custkey AS qid, s AS lei, min(r) AS rank FROM (SELECT o_custkey, o_orderkey % 100 AS s, o_orderkey AS r FROM orders) GROUP BY 1, 2),
 b AS (SELECT qid, lei, via, 0 AS part, first AS nth FROM l UNION ALL SELECT qid, lei, NULL, 1, rank FROM h WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.qid = h.qid AND l.lei = h.lei))
 SELECT qid, lei, via, CAST(row_number() OVER (PARTITION BY qid ORDER BY part, nth, lei) AS INTEGER) AS rank FROM b""")
 def composed_hits(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     n = F.col("l_linenumber")
-    kinds = F.when(n == 1, "isin").when(n == 2, "lei").otherwise("reg.no")
-    lookups = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("qid"), n.alias("reading_no"), kinds.alias("kind"), F.col("l_suppkey").alias("lei"))
+    kinds = F.get(F.array(*map(F.lit, ("bic", "isin", "lei", "mic", "name", "number", "reg.no"))), n - 1)
+    lookups = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("qid"), n.alias("reading_no"), kinds.alias("kind"), F.col("l_suppkey").alias("lei"))
     hits = o.groupBy(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 100).alias("lei")).agg(F.min("o_orderkey").alias("rank"))
     return C.compose(lookups, hits)
 
@@ -155,7 +155,7 @@ def composed_hits(spark, sf_dir):
 @query()
 def highlighted_hits(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    hits = M.top_k(_typed(spark), names, names, 10).join(_typed(spark).select("qid", "tokens"), "qid").join(names.select("lei", "name"), "lei")
+    hits = M.top_k(_typed(spark, sf_dir), names, names, 10).join(_typed(spark, sf_dir).select("qid", "tokens"), "qid").join(names.select("lei", "name"), "lei")
     marked = H.highlight(hits.withColumn("others", F.array().cast("array<string>")))
     return marked.select("qid", "lei", "rank", R.mark_html(F.col("name"), F.col("legal")).alias("html"))
 
@@ -259,7 +259,7 @@ FEATURES = ("n_miss", "n_fuzzy", "n_exact", "coverage", "prominence")
 
 def _candidates(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    found = M.features(_typed(spark), names).where("shown").join(names.select("lei", "prominence"), "lei")
+    found = M.features(_typed(spark, sf_dir), names).where("shown").join(names.select("lei", "prominence"), "lei")
     plain = [F.col(f).cast("double").alias(f) for f in FEATURES]
     return found.select("qid", (F.col("qid") % 2).alias("stratum"), "lei", (F.col("lei") % 7 == 0).alias("target"), (F.col("coverage") + F.col("prominence")).alias("score"), *plain)
 

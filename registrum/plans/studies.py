@@ -7,7 +7,7 @@ from registrum.operators import evaluate as V
 from registrum.operators import index as X
 from registrum.operators import match as M
 from registrum.plans import tables
-from registrum.plans.catalogue import _TYPED_SQL, _typed
+from registrum.plans.catalogue import _TARGETS, _TYPED_SQL, _targets, _typed
 from registrum.plans.registry import query
 from registrum.plans.tables import table
 from registrum.streaming import sessions
@@ -20,14 +20,14 @@ def stand_in_prominence(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     names = tables.parts(spark, sf_dir)
-    found = M.features(_typed(spark), names).withColumn("match", M.match_score()).where("match IS NOT NULL").groupBy("qid", "lei").agg(F.max("match").alias("match"))
+    found = M.features(_typed(spark, sf_dir), names).withColumn("match", M.match_score()).where("match IS NOT NULL").groupBy("qid", "lei").agg(F.max("match").alias("match"))
     return found.join(names.select("lei", "prominence"), "lei")
 
 
-@query("WITH " + _TYPED_SQL + ", goal AS (SELECT CAST(p_partkey % 20 AS INTEGER) AS qid, p_partkey AS lei FROM part WHERE p_partkey % 7 = 0) SELECT qid, lei, rank FROM goal LEFT JOIN hits USING (qid, lei)")
+@query("WITH " + _TYPED_SQL + f", {_TARGETS} SELECT qid, lei, rank FROM targets LEFT JOIN hits USING (qid, lei)")
 def target_rank(spark, sf_dir):
-    targets = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select((F.col("p_partkey") % 20).cast("int").alias("qid"), F.col("p_partkey").alias("lei"))
-    return V.rank_of_target(_scored(spark, sf_dir).select("qid", "lei", F.round(F.col("match") + F.col("prominence"), 6).alias("score")), targets)
+    scored = _scored(spark, sf_dir).select("qid", "lei", (F.col("match") + F.col("prominence")).alias("score"))
+    return V.rank_of_target(scored, _targets(spark, sf_dir).select("qid", "lei"))
 
 
 _STROKES = "WITH n AS (SELECT o_custkey AS qid, min(CASE WHEN r <= 5 THEN k END) AS top5, min(CASE WHEN r <= 1 THEN k END) AS top1, min(CASE WHEN r <= 5 THEN k END) / max(k) AS share FROM (SELECT o_custkey, o_orderkey % 50 + 1 AS k, o_orderkey % 23 + 1 AS r FROM orders) GROUP BY 1) "
@@ -49,10 +49,7 @@ def keystroke_summary(spark, sf_dir):
     return V.keystroke_summary(_strokes(spark, sf_dir))
 
 
-_MATCH_SQL = "(CASE WHEN n_miss = 0 THEN 2.59 ELSE 0 END) - 4.83 * n_miss - 1.19 * n_fuzzy + 2.96 * n_exact / n + (CASE WHEN exact THEN 0.55 ELSE 0 END) + (CASE WHEN prefix THEN 0.84 ELSE 0 END) + 2.26 * coverage"
-
-
-@query("WITH " + _TYPED_SQL + f", e AS (SELECT p.name AS precision, qid, lei, round({_MATCH_SQL} + CASE WHEN p.step = 0 THEN prominence ELSE floor(prominence / p.step + 0.5) * p.step END, 6) AS s FROM f, (VALUES ('full', 0.0::DOUBLE), ('half', 0.5::DOUBLE), ('one', 1.0::DOUBLE)) p(name, step) WHERE shown) SELECT precision, qid, arg_min(lei, (-s, lei)) AS lei FROM e GROUP BY 1, 2")
+@query("WITH " + _TYPED_SQL + ", e AS (SELECT p.name AS precision, qid, lei, match + CASE WHEN p.step = 0 THEN prominence ELSE floor(prominence / p.step + 0.5e0) * p.step END AS s FROM scored, (VALUES ('full', 0.0::DOUBLE), ('half', 0.5::DOUBLE), ('one', 1.0::DOUBLE)) p(name, step)) SELECT precision, qid, arg_min(lei, (-s, lei)) AS lei FROM e GROUP BY 1, 2")
 def precision_study(spark, sf_dir):
     return V.first_by_precision(_scored(spark, sf_dir), {"full": 0.0, "half": 0.5, "one": 1.0})
 

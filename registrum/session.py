@@ -2,6 +2,7 @@
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -34,6 +35,24 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='registrum-shared-')}")
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def written(df: DataFrame, name: str, *by: str) -> str:
+    """The path of df, written to the shared folder as Parquet in a folder for each value of the columns `by`."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine for tests and benchmarks."""
     return (
