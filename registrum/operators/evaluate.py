@@ -38,17 +38,137 @@ def half_split(rows: DataFrame, key: str, seed: str, by: str) -> DataFrame:
     return rows.withColumn("split", F.when(nth <= F.floor(F.count(F.lit(1)).over(w) / 2), "train").otherwise("test"))
 
 
+#: Cumulative probabilities of 0, 1, 2 .. of a Poisson variable of mean 1.
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
+
+
+def draw_weight(cluster: Column, draw: Column, seed: int) -> Column:
+    """How often a cluster is in a resample: a Poisson weight from a digest, so that any partitioning and any engine gives the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), cluster.cast("string")).cast("binary"))
+    u = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
+    return sum((F.when(u > c, 1).otherwise(0) for c in _POISSON), F.lit(0))
+
+
+def _drawn(rows: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
+    """rows for each draw that they are in, with their weight w."""
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    return each.withColumn("w", draw_weight(F.col(cluster), F.col("draw"), seed)).where("w > 0")
+
+
+def _limits(means: DataFrame, by: list[str]) -> DataFrame:
+    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*by).agg(F.round(p[0], 9).alias("low"), F.round(p[1], 9).alias("high"))
+
+
 def bootstrap(values: DataFrame, cluster: str, column: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """The 2.5 and 97.5 percentiles of a column's means over Poisson resamples of clusters; weights come from hashes, so
-    any partitioning gives the same."""
+    """(low, high): the 2.5 and 97.5 percentiles of a column's means over resamples of clusters."""
     sums = values.groupBy(cluster).agg(F.sum(column).alias("s"), F.count(F.lit(1)).alias("n"))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("draw"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
-    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.agg(p[0].alias("low"), p[1].alias("high"))
+    means = _drawn(sums, cluster, draws, seed).groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    return _limits(means, [])
+
+
+def joint_bootstrap(results: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
+    """(system, stratum, point, low, high) of results (system, stratum, target, value): means by stratum, of their mean (the objective)
+    and of paired differences of systems ("a - b"), with limits from resamples of targets that are taken jointly over all strata and
+    systems. Values are summed by target first, so what is drawn is small."""
+    sums = results.groupBy("system", "stratum", "target").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    point = sums.groupBy("system", "stratum").agg((F.sum("s") / F.sum("n")).alias("m"))
+    drawn = _drawn(sums, "target", draws, seed).groupBy("draw", "system", "stratum").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    every = drawn.unionByName(point.withColumn("draw", F.lit(0)))
+    every = every.unionByName(every.groupBy("draw", "system").agg(F.avg("m").alias("m")).withColumn("stratum", F.lit("objective")))
+    a, b = (every.select("draw", "stratum", F.col("system").alias(f"system_{n}"), F.col("m").alias(f"m_{n}")) for n in "ab")
+    pairs = a.join(b, ["draw", "stratum"]).where(F.col("system_a") < F.col("system_b"))
+    every = every.unionByName(pairs.select("draw", F.concat_ws(" - ", "system_a", "system_b").alias("system"), "stratum", (F.col("m_a") - F.col("m_b")).alias("m")))
+    points = every.where("draw = 0").select("system", "stratum", F.round("m", 9).alias("point"))
+    return points.join(_limits(every.where("draw > 0"), ["system", "stratum"]), ["system", "stratum"])
+
+
+def paired_bootstrap(results: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
+    """(stratum, point, low, high) of results (stratum, target, before, after): the mean gain by stratum, targets resampled within each
+    stratum by itself, and of the strata's mean."""
+    sums = results.groupBy("stratum", "target").agg(F.sum(F.col("after") - F.col("before")).alias("s"), F.count(F.lit(1)).alias("n"))
+    keyed = sums.withColumn("cluster", F.concat_ws(":", "stratum", F.col("target").cast("string")))
+    point = keyed.groupBy("stratum").agg((F.sum("s") / F.sum("n")).alias("m")).withColumn("draw", F.lit(0))
+    drawn = _drawn(keyed, "cluster", draws, seed).groupBy("draw", "stratum").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    every = drawn.unionByName(point.select("draw", "stratum", "m"))
+    every = every.unionByName(every.groupBy("draw").agg(F.avg("m").alias("m")).select("draw", F.lit("objective").alias("stratum"), "m"))
+    return every.where("draw = 0").select("stratum", F.round("m", 9).alias("point")).join(_limits(every.where("draw > 0"), ["stratum"]), "stratum")
+
+
+def reciprocal(rank: Column, k: int = 10) -> Column:
+    return F.when(rank.between(1, k), 1 / rank).otherwise(0.0)
+
+
+def compare_replays(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(stratum, n, before, after, gain) of two replays (qid, stratum, lei, rank) of the same targets: mean reciprocal ranks, and those of
+    all strata alike as the objective. Fails if one has what the other has not."""
+    keys = ["qid", "stratum", "lei"]
+    met = before.select(*keys, F.col("rank").alias("a"), F.lit(True).alias("in_a")).join(after.select(*keys, F.col("rank").alias("b"), F.lit(True).alias("in_b")), keys, "full_outer")
+    whole = F.when(F.col("in_a") & F.col("in_b"), F.lit(True)).otherwise(F.raise_error(F.lit("the two replays hold different queries")).cast("boolean"))
+    strata = met.where(whole).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg(reciprocal(F.col("a"))).alias("before"), F.avg(reciprocal(F.col("b"))).alias("after"))
+    every = strata.unionByName(strata.agg(F.lit("objective").alias("stratum"), F.sum("n").alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after")))
+    return every.select("stratum", "n", *(F.round(c, 9).alias(c) for c in ("before", "after")), F.round(F.col("after") - F.col("before"), 9).alias("gain"))
+
+
+def top_differences(one: DataFrame, other: DataFrame, k: int = 10) -> DataFrame:
+    """(differ, first_differs): for how many queries two runs' hits (qid, lei, rank) list others among the first k, and another first. A
+    query that one run has no hits for differs."""
+    listed = lambda hits, n: hits.where(F.col("rank") <= k).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lei"))), lambda x: x["lei"]).alias(n))
+    met = listed(one, "a").join(listed(other, "b"), "qid", "full_outer")
+    first = lambda c: F.get(c, F.lit(0))
+    return met.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"), F.count_if(~first("a").eqNullSafe(first("b"))).alias("first_differs"))
+
+
+def is_short(tokens: Column) -> Column:
+    """One word of two to four characters."""
+    return (F.size(tokens) == 1) & F.length(F.get(tokens, F.lit(0))).between(2, 4)
+
+
+def without_word(queries: DataFrame, names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(qid) of queries of one word (qid, tokens) for which no name (lei, seq, extras) of a target (qid, lei) has a word or extra spelling
+    that begins with it."""
+    single = queries.where(F.size("tokens") == 1).select("qid", F.get("tokens", F.lit(0)).alias("word"))
+    terms = names.select("lei", F.explode(F.concat("seq", "extras")).alias("term")).distinct()
+    found = single.join(targets.select("qid", "lei"), "qid").join(terms, "lei").where(F.startswith("term", "word"))
+    return single.join(found.select("qid"), "qid", "left_anti").select("qid")
+
+
+def causes(ranks: DataFrame, routed: DataFrame, indexed: DataFrame, pool: DataFrame, wordless: DataFrame, targets: DataFrame) -> DataFrame:
+    """(qid, cause) of each query of ranks (qid, rank of its best target, null if it isn't scored): first, not routed (routed: qid, files),
+    not in index (indexed: lei), not a candidate (pool: qid, lei), the same for want of a word (wordless: qid), no name matches, or
+    scored low."""
+    known = lambda df, name: df.select("qid").distinct().withColumn(name, F.lit(True))
+    there = targets.join(indexed.select("lei").distinct(), "lei", "left_semi")
+    met = ranks.join(routed.select("qid", (F.size("files") > 0).alias("routed")), "qid", "left").join(known(there, "indexed"), "qid", "left")
+    met = met.join(known(targets.join(pool.select("qid", "lei"), ["qid", "lei"], "left_semi"), "pooled"), "qid", "left").join(known(wordless, "wordless"), "qid", "left")
+    cause = (
+        F.when(F.col("rank") == 1, "first").when(~F.coalesce("routed", F.lit(False)), "not routed").when(F.col("indexed").isNull(), "not in index")
+        .when(F.col("pooled").isNull() & F.col("wordless"), "not a candidate: no word").when(F.col("pooled").isNull(), "not a candidate")
+        .when(F.col("rank").isNull(), "no name matches").otherwise("scored low")
+    )
+    return met.select("qid", cause.alias("cause"))
+
+
+def session_costs(strokes: DataFrame, sizes: DataFrame, pool: DataFrame, *, every_key: bool) -> DataFrame:
+    """(session, files, kb, most, final) of typing sessions. strokes (session, k, last, paused, typing): the files that each keystroke routes
+    to once typing pauses, and while it goes on; sizes (file, kb); pool (file, lei). Distinct files that a session fetches and their
+    size, the most candidates at any keystroke, and those at the last."""
+    used = F.when(F.col("last") | F.lit(every_key), F.col("paused")).otherwise(F.col("typing"))
+    files = strokes.select("session", "k", "last", F.explode_outer(used).alias("file"))
+    fetched = files.where(F.col("file").isNotNull()).select("session", "file").distinct().join(sizes, "file", "left").groupBy("session").agg(F.count(F.lit(1)).alias("files"), F.sum("kb").alias("kb"))
+    # keystrokes with the same files have the same candidates
+    listed = strokes.select("session", "last", F.array_sort(used).alias("used"))
+    sets = listed.select("used").distinct()
+    held = sets.select("used", F.explode("used").alias("file")).join(pool, "file").groupBy("used").agg(F.count_distinct("lei").alias("n"))
+    counts = listed.join(held, "used", "left").groupBy("session").agg(F.max(F.coalesce("n", F.lit(0))).alias("most"), F.max(F.when(F.col("last"), F.coalesce("n", F.lit(0)))).alias("final"))
+    return counts.join(fetched, "session", "left").select("session", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("kb", F.lit(0.0)).alias("kb"), "most", F.coalesce("final", F.lit(0)).alias("final"))
+
+
+def cost_summary(costs: DataFrame) -> DataFrame:
+    """(measure, median, p90, most) of session costs."""
+    measures = ("files", "kb", "most", "final")
+    long = costs.select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("m")).select("m.*")
+    return summary(long, "v", "measure")
 
 
 def rank_of_target(scored: DataFrame, targets: DataFrame) -> DataFrame:

@@ -73,24 +73,24 @@ def file_of(words: DataFrame, table: DataFrame, word: Column, out: str) -> DataF
     return whole.withColumn(out, F.coalesce(F.get("bounds_", found - 1)["file"], F.lit(0))).drop("bounds_")
 
 
-def route(queries: DataFrame, table: DataFrame, *, paused: bool = True) -> DataFrame:
+def route(queries: DataFrame, table: DataFrame, *, paused: bool = True, min_chars: int = MIN_CHARS, max_span: int = MAX_SPAN, max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """(qid, files) of queries (qid, tokens, in_progress): the files to read, in order. A word routes by its shortest prefix that lies in
     one file; words whose files hold all their entities go first, then longer ones; two words at most. A lone word too short for that
     routes by itself once typing pauses."""
     words = queries.select("qid", "in_progress", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "word"))
     words = words.withColumn("open", F.col("in_progress") & (F.col("pos") == F.col("n") - 1))
-    content = words.where(~T.is_stop(F.col("word")) & (F.length("word") >= MIN_CHARS))
-    cuts = content.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(MIN_CHARS), F.length("word")), lambda i: F.left(F.col("word"), i))))
+    content = words.where(~T.is_stop(F.col("word")) & (F.length("word") >= min_chars))
+    cuts = content.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(min_chars), F.length("word")), lambda i: F.left(F.col("word"), i))))
     spans = file_of(file_of(cuts, table, F.col("prefix"), "first"), table, F.concat("prefix", F.lit("\uffff")), "last")
-    inside = F.col("last") - F.col("first") + 1 <= MAX_SPAN
+    inside = F.col("last") - F.col("first") + 1 <= max_span
     # the whole word is the last of its prefixes
-    placed = spans.groupBy("qid", "pos").agg(F.first("word").alias("word"), F.first("open").alias("open"), F.min_by("first", F.when(inside, F.length("prefix"))).alias("narrow"), F.max_by("first", F.length("prefix")).alias("own"))
-    placed = placed.withColumn("file", F.coalesce("narrow", F.when(~F.col("open") | F.lit(paused), F.col("own")))).where(F.col("file").isNotNull())
-    known = placed.join(table.select("file", "capped"), "file", "left")
-    known = known.withColumn("full", ~F.coalesce("capped", F.lit(False)) & (F.col("narrow").isNotNull() | ~F.col("open")))
+    placed = spans.groupBy("qid", "pos").agg(F.first("word").alias("word"), F.first("open").alias("open"), F.min_by(F.sequence("first", "last"), F.when(inside, F.length("prefix"))).alias("narrow"), F.array(F.max_by("first", F.length("prefix"))).alias("own"))
+    placed = placed.withColumn("held", F.coalesce("narrow", F.when(~F.col("open") | F.lit(paused), F.col("own")))).where(F.col("held").isNotNull())
+    known = placed.withColumn("file", F.explode("held")).join(table.select("file", "capped"), "file", "left")
+    known = known.groupBy("qid", "pos").agg(F.first("word").alias("word"), F.first("held").alias("held"), (~F.bool_or(F.coalesce("capped", F.lit(False))) & F.first(F.col("narrow").isNotNull() | ~F.col("open"))).alias("full"))
     order = Window.partitionBy("qid").orderBy(F.col("full").desc(), F.length("word").desc(), "pos")
-    anchors = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_ANCHORS)
-    listed = anchors.groupBy("qid").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("nth", "file"))), lambda x: x["file"])).alias("files"))
+    anchors = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_anchors)
+    listed = anchors.groupBy("qid").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "held"))), lambda x: x["held"]))).alias("files"))
     none = F.array().cast("array<int>")
     out = queries.join(listed, "qid", "left")
     if paused:

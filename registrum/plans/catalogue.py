@@ -311,19 +311,19 @@ def file_of_word(spark, sf_dir):
     return X.file_of(w, X.bounds(files, capped), F.col("word"), "file")
 
 
-def _route_sql(paused: bool) -> str:
+def _route_sql(paused: bool, s: str = "") -> str:
     return f"""
-cw AS (SELECT qid, p - 1 AS pos, tokens[p] AS word, in_progress AND p = len(tokens) AS open FROM (SELECT qid, tokens, in_progress, unnest(range(1, len(tokens) + 1)) AS p FROM typed) WHERE length(tokens[p]) >= 3 AND tokens[p] NOT IN ({_STOP})),
-px AS (SELECT *, left(word, l) AS prefix FROM (SELECT *, unnest(range(3, length(word) + 1)) AS l FROM cw)),
-pf AS (SELECT px.*, coalesce(tb.file, 0) AS first FROM px ASOF LEFT JOIN tb ON px.prefix >= tb.lo),
-pl AS (SELECT pf.*, coalesce(tb.file, 0) AS last FROM (SELECT *, prefix || chr(65535) AS far FROM pf) pf ASOF LEFT JOIN tb ON pf.far >= tb.lo),
-aw AS (SELECT qid, pos, word, open, arg_min(first, l) FILTER (last = first) AS narrow, arg_max(first, l) AS own FROM pl GROUP BY ALL),
-af AS (SELECT *, coalesce(narrow, CASE WHEN {paused} OR NOT open THEN own END) AS file FROM aw),
-an AS (SELECT qid, file, row_number() OVER (PARTITION BY qid ORDER BY NOT coalesce(capped, false) AND (narrow IS NOT NULL OR NOT open) DESC, length(word) DESC, pos) AS nth FROM af LEFT JOIN (SELECT file, capped FROM tb) USING (file) WHERE file IS NOT NULL),
-ls AS (SELECT qid, string_agg(CAST(file AS VARCHAR), ',' ORDER BY nth) AS files FROM (SELECT qid, file, min(nth) AS nth FROM an WHERE nth <= 2 GROUP BY 1, 2) GROUP BY 1),
-lw AS (SELECT qid, tokens[1] AS word, len(tokens) = 1 AND length(tokens[1]) >= 2 AND {paused} AS lone FROM typed),
-lf AS (SELECT lw.qid, CASE WHEN lone THEN CAST(coalesce(tb.file, 0) AS VARCHAR) ELSE '' END AS lone FROM lw ASOF LEFT JOIN tb ON lw.word >= tb.lo),
-routed AS (SELECT qid, coalesce(files, lone) AS files FROM lf LEFT JOIN ls USING (qid))"""
+cw{s} AS (SELECT qid, p - 1 AS pos, tokens[p] AS word, in_progress AND p = len(tokens) AS open FROM (SELECT qid, tokens, in_progress, unnest(range(1, len(tokens) + 1)) AS p FROM typed) WHERE length(tokens[p]) >= 3 AND tokens[p] NOT IN ({_STOP})),
+px{s} AS (SELECT *, left(word, l) AS prefix FROM (SELECT *, unnest(range(3, length(word) + 1)) AS l FROM cw{s})),
+pf{s} AS (SELECT x.*, coalesce(tb.file, 0) AS first FROM px{s} x ASOF LEFT JOIN tb ON x.prefix >= tb.lo),
+pl{s} AS (SELECT x.*, coalesce(tb.file, 0) AS last FROM (SELECT *, prefix || chr(65535) AS far FROM pf{s}) x ASOF LEFT JOIN tb ON x.far >= tb.lo),
+aw{s} AS (SELECT qid, pos, word, open, arg_min(first, l) FILTER (last = first) AS narrow, arg_max(first, l) AS own FROM pl{s} GROUP BY ALL),
+af{s} AS (SELECT *, coalesce(narrow, CASE WHEN {paused} OR NOT open THEN own END) AS file FROM aw{s}),
+an{s} AS (SELECT qid, file, row_number() OVER (PARTITION BY qid ORDER BY NOT coalesce(capped, false) AND (narrow IS NOT NULL OR NOT open) DESC, length(word) DESC, pos) AS nth FROM af{s} LEFT JOIN (SELECT file, capped FROM tb) USING (file) WHERE file IS NOT NULL),
+ls{s} AS (SELECT qid, string_agg(CAST(file AS VARCHAR), ',' ORDER BY nth) AS files FROM (SELECT qid, file, min(nth) AS nth FROM an{s} WHERE nth <= 2 GROUP BY 1, 2) GROUP BY 1),
+lw{s} AS (SELECT qid, tokens[1] AS word, len(tokens) = 1 AND length(tokens[1]) >= 2 AND {paused} AS lone FROM typed),
+lf{s} AS (SELECT x.qid, CASE WHEN lone THEN CAST(coalesce(tb.file, 0) AS VARCHAR) ELSE '' END AS lone FROM lw{s} x ASOF LEFT JOIN tb ON x.word >= tb.lo),
+routed{s} AS (SELECT qid, coalesce(files, lone) AS files FROM lf{s} LEFT JOIN ls{s} USING (qid))"""
 
 
 def _routed(spark, sf_dir, paused: bool):
@@ -383,11 +383,6 @@ def percentile_summary(spark, sf_dir):
     return V.summary(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    return V.bootstrap(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
-
-
 @query("SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt > ts + INTERVAL 30 MINUTE")
 def debounce_pauses(spark, sf_dir):
     return S.pauses(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "30 minutes").select("user_id", "event_id")

@@ -46,9 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, *by: str) -> str:
     """The path of df, written to the shared folder as Parquet in a folder for each value of the columns `by`."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
     return path
 
