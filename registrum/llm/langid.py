@@ -198,7 +198,7 @@ class Tagger:
         return ",".join(f"{places[a][0]}:{places[b - 1][1]}:{self.model.langs[labels[a]]}" for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
-def _tagging(shared, with_spans: bool, letters: int = 2_000_000, with_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")):
+def _tagging(shared, with_spans: bool, letters: int = 1_000_000, with_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")):
     """Texts of a batch are taken by length, some `letters` at a time (a longer text alone): what is held follows that, and the
     steps that all take together are few where texts are short."""
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import bounded, lean, staged
+from registrum.llm._shared import bounded, lean, scratch, staged
 from registrum.llm.wordhash import mix, word_hashes
 
 #: Words of the shortest line or paragraph that is looked up.
@@ -208,10 +208,12 @@ def dedup_units(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kin
     and the texts once, to meet what is cut from them.
     """
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
-    listed = staged(rows.mapInArrow(lean(_listing(kinds, min_words)), "doc_id long, text_key long, start int, end int, digest binary"), "units")
-    again = _again(listed.where("end >= 0"), F.col("first.end"), "first-units")
-    found = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    runs = _runs(listed.where("end < 0"), rows)
-    both = found.join(runs, _of(found, runs), "full_outer").select(F.coalesce(found["doc_id"], runs["doc_id"]).alias("doc_id"), F.coalesce(found["text_key"], runs["text_key"]).alias("text_key"), "found", "runs")
+    with scratch(docs.sparkSession) as keep:
+        listed = staged(rows.mapInArrow(lean(_listing(kinds, min_words)), "doc_id long, text_key long, start int, end int, digest binary"), "units")
+        again = _again(listed.where("end >= 0"), F.col("first.end"), "first-units")
+        found = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+        runs = _runs(listed.where("end < 0"), rows)
+        both = found.join(runs, _of(found, runs), "full_outer").select(F.coalesce(found["doc_id"], runs["doc_id"]).alias("doc_id"), F.coalesce(found["text_key"], runs["text_key"]).alias("text_key"), "found", "runs")
+        both = keep(staged(both, "cuts"))
     out = rows.join(both, _of(rows, both), "left").select(rows["doc_id"], rows["text"], "found", "runs").mapInArrow(lean(_cut), "doc_id long, n_removed long, chars_removed long, spans string, kept_text string")
     return out.withColumnRenamed("doc_id", key)

@@ -128,7 +128,7 @@ def _sign(shared, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(settings)
         for batch in batches:
-            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle, 512):
+            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle):
                 found = sampler.band_hashes(sampler.samples(bounds, hashes, weights_of(hashes, counts, shared.value)))
                 full = np.diff(bounds) > 0
                 values = [row.tolist() if ok else [] for row, ok in zip(found, full, strict=True)]
@@ -155,7 +155,7 @@ def _vectors(shared, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(settings)
         for batch in batches:
-            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle, 512):
+            for at, bounds, hashes, counts in shingle_sets(batch.column("text"), settings.shingle):
                 spans = list(zip(bounds[:-1], bounds[1:], strict=True))
                 samples = sampler.samples(bounds, hashes, weights_of(hashes, counts, shared.value))
                 columns = {"hashes": [pack(hashes[a:b]) for a, b in spans], "times": [counts[a:b].astype(np.uint32).tobytes() for a, b in spans], "samples": [row.tobytes() for row in samples]}

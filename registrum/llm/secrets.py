@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import lean
+from registrum.llm._shared import lean, scratch, staged
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -149,10 +149,20 @@ def _parts(i: int, j: int) -> Iterator[tuple[int, int]]:
 
 def learn_words(docs: DataFrame, *, text: str = "text", keep: int = LEARNED, least: int = 3) -> tuple[str, ...]:
     """The words of all texts by frequency, most common first (then by the word): those of three to twenty letters that occur `least`
-    times or more, at most `keep` of them, which bounds what comes to the driver. Counts are taken over all documents."""
+    times or more, at most `keep` of them. Counts are taken over all documents, and then of words by an eighth of an octave of their
+    count, so that only whole steps that fit into `keep` are asked for: what comes to the driver is bounded."""
     listed = F.regexp_extract_all(F.lower(docs[text]), F.lit(r"\p{L}{3,20}+(?!\p{L})"), F.lit(0))
-    counts = docs.select(F.explode(listed).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return tuple(r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(keep).collect())
+    with scratch(docs.sparkSession):
+        counts = docs.select(F.explode(listed).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        counts = staged(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
+        lowest, total = None, 0
+        for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():
+            total += r["n"]
+            if total > keep:
+                break
+            lowest = r["step"]
+        rows = [] if lowest is None else counts.where(F.col("step") >= lowest).select("n", "word").collect()
+    return tuple(r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])))
 
 
 Span = tuple[str, int, int]

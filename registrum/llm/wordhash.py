@@ -76,7 +76,7 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     return rows[valid], mix(total[valid]) >> np.uint64(16)
 
 
-def shingle_sets(column: pa.Array, size: int, rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, size: int, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of at most `rows` rows: first row, start of each row's shingles (with the end), sorted distinct hashes, counts."""
     for at in range(0, len(column), rows):
         part = column.slice(at, rows)
