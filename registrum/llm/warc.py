@@ -4,16 +4,21 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import fresh_path, staged
+from registrum.llm._shared import bounded, fresh_path, lean, removed, scratch, staged
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 MIN_BYTES = 100
-#: Records in an archive: reading one back takes a task the memory of one archive.
-RECORDS = 4_000
+#: Most bytes of a payload, and records in an archive of such payloads: some 64 MB, since reading an archive back takes a task the
+#: memory of one. Longer payloads have an archive each.
+SIZES = ((1 << 14, 4_000), (1 << 20, 60), (1 << 24, 4))
+#: Captures that one task merges.
+RANGE = 100_000
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string, place long"
 
 
@@ -30,11 +35,15 @@ def plan_records(pages: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
     least `min_bytes` bytes is that of a page with a smaller id, that page."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
-    firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "least")
-    met = rows.join(staged(firsts, "payloads"), "payload_digest", "left")
+    long = rows.where(F.col("payload_bytes") >= min_bytes)
+    firsts = long.groupBy("payload_digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "least")
+    # short payloads, all empty pages among them, are never looked up
+    met = long.join(bounded(staged(firsts, "payloads")), "payload_digest", "left")
     again = F.col("least").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("least")))
+    names = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    every = met.select(*names, F.when(again, F.col("least")).alias("refers_to")).unionByName(rows.where(F.col("payload_bytes") < min_bytes).select(*names, F.lit(None).cast("long").alias("refers_to")))
     captured = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return met.select("page_id", "url", "html", captured.alias("captured"), "payload_bytes", "payload_digest", F.when(again, F.col("least")).alias("refers_to"))
+    return every.select("page_id", "url", "html", captured.alias("captured"), "payload_bytes", "payload_digest", "refers_to")
 
 
 def record_text(p: DataFrame) -> Column:
@@ -58,11 +67,17 @@ def record_text(p: DataFrame) -> Column:
     return F.concat(head, body)
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, records: int = RECORDS) -> str:
-    """Archives under path, gzip-compressed, of at most `records` records each. Spark's text writer puts a record's two line ends
-    behind it, so archives reach any store that Spark writes to, by its commit protocol."""
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, sizes: tuple[tuple[int, int], ...] = SIZES) -> str:
+    """Archives under path, gzip-compressed, each of payloads of one class of sizes (most bytes, records in an archive), so that their
+    number bounds its bytes. Spark's text writer puts a record's two line ends behind it, so archives reach any store that Spark writes
+    to, by its commit protocol."""
     plan = plan_records(pages, min_bytes=min_bytes)
-    plan.select(record_text(plan).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    low = -1
+    for high, records in (*sizes, (2**63 - 1, 1)):
+        some = plan.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        if low < 0 or not some.isEmpty():
+            some.select(record_text(some).alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+        low = high
     return path
 
 
@@ -149,42 +164,72 @@ class LoserTree:
             self.winner = won
 
 
+def _keys(table: pa.Table, at: int, end: int) -> Iterator[tuple[tuple, int]]:
+    """(order key, row) of rows at to end, read a few at a time."""
+    for start in range(at, end, 256):
+        rows = table.slice(start, min(256, end - start)).to_pylist()
+        yield from ((order_key(r), start + k) for k, r in enumerate(rows))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a range of URL keys, which come run by run, as one sorted sequence."""
-    rows = [b.select(_SCHEMA.names) for b in batches if b.num_rows]
-    if not rows:
+    """The rows of a range of URL keys, which come run by run, as one sorted sequence. The range is held as columns; of each run the merge
+    holds a few rows."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
-    table = pa.Table.from_batches(rows).to_pylist()
-    runs: dict[str, list[dict]] = {}
-    for r in table:
-        runs.setdefault(r["archive"], []).append(r)
-    out = list(LoserTree(list(runs.values()), order_key))
-    for at in range(0, len(out), 4096):
-        yield pa.RecordBatch.from_pylist([r | {"position": at + k} for k, r in enumerate(out[at : at + 4096])], schema=_SCHEMA.append(pa.field("position", pa.int64())))
+    table = pa.Table.from_batches(parts)
+    archive = table.column("archive").combine_chunks()
+    edges = [0, *(k + 1 for k in np.flatnonzero(pc.not_equal(archive[1:], archive[:-1]).to_numpy(zero_copy_only=False)).tolist()), len(archive)]
+    runs = [_keys(table, a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    order, done = [], 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        told = table.take(pa.array(order)).append_column("place_in_range", pa.array(range(done, done + len(order)), pa.int64()))
+        yield from told.combine_chunks().to_batches()
+
+    for _, row in LoserTree(runs, lambda x: x[0]):
+        order.append(row)
+        if len(order) == 4096:
+            yield from rows()
+            done, order = done + len(order), []
+    if order:
+        yield from rows()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives under path, a sorted run for each archive."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_runs, RECORD)
+    return files.mapInArrow(lean(_runs), RECORD)
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """All captures by URL key and time, with position in their range: ranges follow each other, and each range's slices of the
-    runs are merged by a loser tree. Ranges are cut by time and page too, so that a URL captured very often is no single task."""
-    order = ["url_key", "captured", "page_id", "archive", "place"]
-    sliced = runs.repartitionByRange(*order).sortWithinPartitions("archive", *order)
-    return sliced.mapInArrow(_merged, RECORD + ", position long")
-
-
-def archive_pages(pages: DataFrame, path: str | None = None, *, min_bytes: int = MIN_BYTES, records: int = RECORDS) -> DataFrame:
+    """All captures by URL key and time, with position from 0 in the whole history: ranges follow each other, each range's slices of the
+    runs are merged by a loser tree, and what lies before a range is added to the places in it. Ranges are cut by time and page too, so
+    that a URL captured very often is no single task, and there are as many as hold RANGE captures each, on average."""
+    with scratch(runs.sparkSession) as keep:
+        held = staged(runs, "captures")
+        n = max(1, held.count() // RANGE + 1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        order = ["url_key", "captured", "page_id", "archive", "place"]
+        sliced = held.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("archive", *order)
+        merged = keep(staged(sliced.mapInArrow(lean(_merged), RECORD + ", part int, place_in_range long"), "history"))
+    # a row for each range
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return merged.join(F.broadcast(offsets), "part").withColumn("position", F.col("before") + F.col("place_in_range")).drop("part", "before", "place_in_range")
+
+
+def archive_pages(pages: DataFrame, path: str | None = None, *, min_bytes: int = MIN_BYTES, sizes: tuple[tuple[int, int], ...] = SIZES) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html), reads the archives back and returns their merged index:
     page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, archive, place, position.
 
     A null html is an empty payload, a null url has an empty key, a null page_id stays null and is a revisit where an equal payload
     of `min_bytes` bytes has an id; rows that share the least id are all responses. Without a clock in the table, a capture's
-    time is a fixed moment plus page_id seconds. An empty table gives an empty index. Other columns are ignored.
+    time is a fixed moment plus page_id seconds. An empty table gives an empty index. Other columns are ignored. Archives that no path
+    was given for are removed once they have been read back.
     """
     spark = pages.sparkSession
-    path = write_archives(pages, path or fresh_path(spark, "warc"), min_bytes=min_bytes, records=records)
-    return merge_index(read_archives(spark, path))
+    place = write_archives(pages, path or fresh_path(spark, "warc"), min_bytes=min_bytes, sizes=sizes)
+    index = merge_index(read_archives(spark, place))
+    if path is None:
+        removed(spark, place)
+    return index

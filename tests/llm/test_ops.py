@@ -148,12 +148,15 @@ def test_line_dedup(spark):
 def test_warc(spark):
     body = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20
     pages = [(3, "http://www.b.org/x?q#f", body), (1, "https://a.org", body), (2, None, "short"), (4, "http://a.org/\n", "short"), (5, "u", None), (6, "http://b.org/x", body), (None, "n", "z" * 200)]
-    out = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), records=2).collect()}
+    out = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), sizes=((200, 2), (10_000, 1))).collect()}
     for page, _, html in pages:
         data, r = (html or "").encode(), out[page]
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 1) if page in (3, 6) else ("response", None))
     assert out[3].url_key == "org,b)/x?q"
+    history = sorted(out.values(), key=lambda r: r.position)
+    assert [r.position for r in history] == list(range(len(pages)))
+    assert [(r.url_key, r.captured) for r in history] == sorted((r.url_key, r.captured) for r in history)
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
