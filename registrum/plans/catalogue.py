@@ -17,9 +17,7 @@ from registrum.plans.tables import table
 from registrum.session import written
 from registrum.streaming import sessions as S
 
-CODES = ("529900GRZ2BQY5ZM9N49", "HWUPKR0MPOU8FGXBT394", "HWUPKR0MPOU8FGXBT395", "US92204Q1031", "US0378331005", "US0378331006", "PLING0100027", "LBTCUS44XXX", "ERICSSON", "ERICQQON", "LBTCUS44X", "5299 00GR Z2BQ Y5ZM 9N49", "Sony Corp", "TEER SE SS XXX", "556016-0680", "HRB 86891", "SC123456", "12345", "Fund 2021", "AB1234", "")
 COUNTRIES = ["US", "SE", "CS", "DE", "GB", "FR", "NL"]
-NAMES = ("Skandinaviska Enskilda Banken AB (publ)", "BP P.L.C.", "SAS AB", "AB", "Acme GmbH & Co. KG", "Royal Bank of Canada", "International Business Machines Corporation", "The Hongkong and Shanghai Banking Corporation Limited", "AT&T", "Coca-Cola", "L M Ericsson", "H & M", "a b c d", "3M Company", "Deutsche Bank AG")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,26 +139,59 @@ def folded_names(spark, sf_dir):
     return p.select("p_partkey", spaces.alias("folded"), F.sha2(F.array_join(T.query_tokens(F.col("name")), " "), 256).alias("tokens"))
 
 
-@query()
+_FORMS = (("AB (publ)", "ab publ"), ("GmbH & Co. KG", "gmbh co kg"), ("Limited", "limited"), ("P.L.C.", "plc"), ("", ""))
+
+
+@query(f"""WITH n AS (SELECT c_custkey, lower(c_mktsegment) AS w, [{", ".join(f"'{tokens}'" for _, tokens in _FORMS)}][c_custkey % 5 + 1] AS form FROM customer)
+SELECT c_custkey, trim(w || ' coca cola of ' || form) AS seq, 'cocacola' || CASE WHEN c_custkey % 5 = 3 THEN '' ELSE '' END AS extras, 4 AS start,
+  left(w, 1) || 'cc' || CASE WHEN c_custkey % 5 = 1 THEN ' ' || left(w, 1) || 'ccg' WHEN c_custkey % 5 = 2 THEN ' ' || left(w, 1) || 'ccl' ELSE '' END AS initials FROM n""")
 def name_forms(spark, sf_dir):
-    d = spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", T.name_seq(F.col("name")).alias("seq"), T.name_extras(F.col("name")).alias("extras"))
-    d = d.withColumn("form", T.form_start(F.col("seq")))
-    return d.select("name", "seq", "extras", "form", T.name_initials(F.col("seq"), F.col("form")).alias("initials"), T.index_terms(F.col("seq"), F.col("extras")).alias("terms"))
+    form = F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("c_custkey") % 5).cast("int"))
+    name = F.concat("c_mktsegment", F.lit(" Coca-Cola of "), form)
+    d = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")).select("c_custkey", F.explode(F.array(F.struct(T.name_seq(F.col("name")).alias("seq"), T.name_extras(F.col("name")).alias("extras")))).alias("n")).select("c_custkey", "n.*")
+    d = d.withColumn("start", T.form_start(F.col("seq")))
+    listed = lambda c: F.array_join(c, " ")
+    shown = F.filter("extras", lambda x: F.length(x) > 3)
+    return d.select("c_custkey", listed("seq").alias("seq"), listed(shown).alias("extras"), "start", listed(T.name_initials(F.col("seq"), F.col("start"))).alias("initials"))
 
 
 _LEI = "CASE WHEN regexp_full_match({0}, '[0-9A-Z]{{18}}[0-9]{{2}}') THEN CAST(array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '') AS HUGEINT) % 97 = 1 ELSE false END"
 
 
-@query(f"SELECT code, {_LEI.format('code')} AS lei, regexp_full_match(code, '[0-9A-Z]{{4}}[A-Z]{{2}}[0-9A-Z]{{2}}([0-9A-Z]{{3}})?') AND substr(code, 5, 2) IN ('US','SE','CS','DE','GB','FR','NL') AS bic FROM (VALUES {_values((c,) for c in CODES)}) v(code)")
+_CODES = """codes AS (SELECT c_custkey, CASE c_custkey % 7
+  WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 18, '0') || lpad(CAST(98 - CAST(c_custkey AS HUGEINT) * 100 % 97 AS VARCHAR), 2, '0')
+  WHEN 1 THEN lpad(CAST(c_custkey AS VARCHAR), 18, '0') || '00' WHEN 2 THEN 'US' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || CAST(c_custkey // 7 % 10 AS VARCHAR)
+  WHEN 3 THEN 'abcd' || CASE WHEN c_custkey % 2 = 0 THEN 'us' ELSE 'xx' END || '2l' WHEN 4 THEN '55' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '-0680'
+  WHEN 5 THEN 'ABCD US 33 XXX' ELSE c_name END AS code FROM customer),
+known AS (SELECT c_custkey, code, upper(replace(code, ' ', '')) AS c FROM codes),
+luhn AS (SELECT *, regexp_full_match(c, '[A-Z]{2}[0-9A-Z]{9}[0-9]') AS shaped, string_split('3028' || substr(c, 3), '') AS d FROM known),
+ids AS (SELECT c_custkey, code, c, CASE WHEN regexp_full_match(c, '[0-9]{20}') THEN CAST(c AS HUGEINT) % 97 = 1 ELSE false END AS is_lei,
+  CASE WHEN shaped THEN list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 1 THEN CAST(d[i] AS INTEGER) * 2 // 10 + CAST(d[i] AS INTEGER) * 2 % 10 ELSE CAST(d[i] AS INTEGER) END)) % 10 = 0 ELSE false END AS is_isin,
+  regexp_full_match(c, '[0-9A-Z]{4}[A-Z]{2}[0-9A-Z]{2}([0-9A-Z]{3})?') AND substr(c, 5, 2) IN ('US','SE','CS','DE','GB','FR','NL') AS is_bic,
+  CASE WHEN c_custkey % 7 = 4 THEN code END AS register FROM luhn)"""
+
+
+def _codes(spark, sf_dir):
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    check = (98 - (k.cast("decimal(38,0)") * 100) % 97).cast("int").cast("string")
+    code = (
+        F.when(k % 7 == 0, F.concat(F.lpad(text, 18, "0"), F.lpad(check, 2, "0"))).when(k % 7 == 1, F.concat(F.lpad(text, 18, "0"), F.lit("00")))
+        .when(k % 7 == 2, F.concat(F.lit("US"), F.lpad(text, 9, "0"), (F.floor(k / 7) % 10).cast("string"))).when(k % 7 == 3, F.concat(F.lit("abcd"), F.when(k % 2 == 0, "us").otherwise("xx"), F.lit("2l")))
+        .when(k % 7 == 4, F.concat(F.lit("55"), F.lpad(text, 9, "0"), F.lit("-0680"))).when(k % 7 == 5, "ABCD US 33 XXX").otherwise(F.col("c_name"))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"))
+
+
+@query(f"WITH {_CODES} SELECT c_custkey, is_lei AND code = c AS lei, is_isin AND code = c AS isin, is_bic AND code = c AS bic FROM ids")
 def valid_codes(spark, sf_dir):
-    d = spark.createDataFrame([(c,) for c in CODES], "code string")
-    return d.select("code", I.valid_lei(F.col("code")).alias("lei"), I.valid_bic(F.col("code"), COUNTRIES).alias("bic"))
+    code = F.col("code")
+    return _codes(spark, sf_dir).select("c_custkey", I.valid_lei(code).alias("lei"), I.valid_isin(code).alias("isin"), I.valid_bic(code, COUNTRIES).alias("bic"))
 
 
-@query()
+@query(f"WITH {_CODES} SELECT c_custkey, CASE WHEN is_lei THEN c END AS lei, CASE WHEN is_isin THEN c END AS isin, CASE WHEN is_bic THEN c END AS bic, register FROM ids")
 def identifier_readings(spark, sf_dir):
-    d = spark.createDataFrame([(c,) for c in CODES], "code string")
-    return d.select("code", I.readings(F.col("code"), COUNTRIES).alias("r"), I.valid_isin(F.col("code")).alias("is_isin"), I.register_number(F.col("code")).alias("register")).select("code", "r.*", "is_isin", "register")
+    d = _codes(spark, sf_dir)
+    return d.select("c_custkey", I.readings(F.col("code"), COUNTRIES).alias("r"), I.register_number(F.col("code")).alias("register")).select("c_custkey", "r.*", "register")
 
 
 _ENT = """

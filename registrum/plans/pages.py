@@ -13,14 +13,13 @@ from registrum.operators import match as M
 from registrum.operators import publish as P
 from registrum.operators import records as C
 from registrum.plans import tables
-from registrum.plans.catalogue import _BAD, _FOLD, _LEI, CODES, COUNTRIES, _typed, _values
+from registrum.plans.catalogue import _BAD, _CODES, _FOLD, _TYPED_SQL, COUNTRIES, _codes, _typed
 from registrum.plans.registry import query
 from registrum.plans.tables import table
 from registrum.sources import inputs
 from registrum.streaming import caches
 
 ORIGIN = "https://registry.example"
-ACCEPTS = ("", "text/markdown", "application/json;q=0.9,text/html", "*/*", "text/*;q=0.5,application/json", "text/html;q=0.2,application/json;q=0.3,text/markdown;q=0.3", "json", "text/markdown;q=2")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE ['active', 'lapsed', 'active', 'active', 'retired', 'duplicate', 'annulled', 'merged'][c_custkey % 8 + 1] END AS label, CASE WHEN c_acctbal < 0 THEN 'retired' ELSE ['active', 'lapsed', 'active', 'active', 'retired', 'retired', 'retired', 'retired'][c_custkey % 8 + 1] END AS tone FROM customer")
@@ -40,7 +39,7 @@ def html_escaped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape_html(F.col("text")), 256).alias("escaped"))
 
 
-@query()
+@query("SELECT page_id, url || '?q=%28%C3%A9%20b%29' AS url FROM pages")
 def markdown_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", R.markdown_url(F.concat("url", F.lit("?q=(é b)"))).alias("url"))
 
@@ -51,9 +50,12 @@ def link_queries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.query_from_hash(link).alias("typed"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, p_partkey % 10 AS page, p_partkey // 10 % 10 AS markdown, p_size % 10 AS anything FROM part)
+SELECT p_partkey, CASE WHEN markdown > page AND markdown >= anything THEN 'markdown' WHEN anything > page THEN 'json' ELSE 'html' END AS format FROM w""")
 def accepted_formats(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a in ACCEPTS], "accept string").select("accept", R.pick_format(F.col("accept")).alias("format"))
+    k, digit = F.col("p_partkey"), lambda c: (c % 10).cast("string")
+    accept = F.concat(F.lit("text/html;q=0."), digit(k), F.lit(", TEXT/markdown ; q=0."), digit(F.floor(k / 10)), F.lit(",bad,*/*;q=0."), digit(F.col("p_size")))
+    return table(spark, sf_dir, "part").select("p_partkey", R.pick_format(accept).alias("format"))
 
 
 @query("SELECT o_orderkey, CAST(least(greatest(ceil((epoch_ms(o_orderdate) + 90000000 - epoch_ms(TIMESTAMP '1996-01-01 06:30:00')) / 1000.0), 300), 86400) AS BIGINT) AS ttl FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders)")
@@ -160,16 +162,15 @@ def highlighted_hits(spark, sf_dir):
     return marked.select("qid", "lei", "rank", R.mark_html(F.col("name"), F.col("legal")).alias("html"))
 
 
-@query("SELECT code, CASE WHEN regexp_full_match(code, '[0-9A-Z]{6,19}') AND length(regexp_replace(code, '[^0-9]', '', 'g')) >= 3 AND length(code) NOT IN (8, 11, 12) THEN length(code) ELSE 0 END AS partial, regexp_full_match(code, '[0-9A-Z]{18}[0-9]{2}') AND NOT " + _LEI.format("code") + f" AS bad FROM (SELECT code FROM (VALUES {_values((c,) for c in CODES)}) v(code)) WHERE upper(code) = code")
+@query(f"WITH {_CODES} SELECT c_custkey, CASE WHEN NOT contains(code, ' ') AND regexp_full_match(c, '[0-9A-Z]{{6,19}}') AND length(regexp_replace(c, '[^0-9]', '', 'g')) >= 3 AND length(c) NOT IN (8, 11, 12) THEN length(c) ELSE 0 END AS partial, NOT contains(code, ' ') AND regexp_full_match(c, '[0-9A-Z]{{18}}[0-9]{{2}}') AND NOT is_lei AS bad FROM ids")
 def input_notes(spark, sf_dir):
-    d = spark.createDataFrame([(c,) for c in CODES], "code string").where(F.upper("code") == F.col("code"))
-    return d.select("code", I.partial_lei(F.col("code")).cast("long").alias("partial"), I.bad_lei(F.col("code")).alias("bad"))
+    return _codes(spark, sf_dir).select("c_custkey", I.partial_lei(F.col("code")).cast("long").alias("partial"), I.bad_lei(F.col("code")).alias("bad"))
 
 
-@query()
+@query(f"WITH {_CODES} SELECT c_custkey, l.kind AS kind, l.code AS code FROM (SELECT c_custkey, unnest([{{kind: 'lei', code: CASE WHEN is_lei THEN c END}}, {{kind: 'isin', code: CASE WHEN is_isin THEN c END}}, {{kind: 'bic', code: CASE WHEN is_bic THEN c END}}, {{kind: 'reg.no', code: register}}]) AS l FROM ids) WHERE l.code IS NOT NULL")
 def input_lookups(spark, sf_dir):
-    d = spark.createDataFrame([(c,) for c in CODES], "code string")
-    return d.select("code", F.explode(I.lookups(F.col("code"), COUNTRIES)).alias("l")).select(F.col("code").alias("typed"), "l.*")
+    d = _codes(spark, sf_dir)
+    return d.select("c_custkey", F.explode(I.lookups(F.col("code"), COUNTRIES)).alias("l")).select("c_custkey", "l.*")
 
 
 @query(f"WITH n AS (SELECT unnest(list_distinct(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]+'))) AS token FROM documents), f AS (SELECT DISTINCT unnest(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]+')) AS token FROM benchmark) SELECT f.token, count(n.token) AS n FROM f LEFT JOIN n USING (token) GROUP BY 1")
@@ -243,7 +244,9 @@ def cache_recent(spark, sf_dir):
     return caches.recently_used(e, "user_id", ["ts", "event_id"], "event_type", 2).select("event_id", "hit")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_type, list({t: epoch_us(ts), e: event_id, last: CAST(-9e18 AS BIGINT), l: CAST([] AS BIGINT[])} ORDER BY ts, event_id) AS x FROM events GROUP BY 1, 2),
+f AS (SELECT unnest(list_reduce(x, lambda a, b: CASE WHEN b.t < a.last + 7200000000 THEN a ELSE {t: b.t, e: b.e, last: b.t, l: list_append(a.l, b.e)} END, {t: CAST(0 AS BIGINT), e: CAST(0 AS BIGINT), last: CAST(-9e18 AS BIGINT), l: CAST([] AS BIGINT[])}).l) AS event_id FROM e)
+SELECT event_id, event_id NOT IN (SELECT event_id FROM f) AS hit FROM events""")
 def cache_ttl(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     return caches.unexpired(e, "user_id", ["ts", "event_id"], "event_type", "ts", 7200).select("event_id", "hit")
@@ -270,12 +273,15 @@ def fitted_weights(spark, sf_dir):
     return spark.createDataFrame([*weights.items(), ("loss", loss)], "name string, value double")
 
 
-@query()
+_ABLATED = "c AS (SELECT qid, qid % 2 AS stratum, lei, lei % 7 = 0 AS target, n_miss, n_fuzzy, n_exact, coverage, prominence FROM f WHERE shown), v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, qid, stratum, lei, target, -4e0 * n_miss + {fuzzy} * n_fuzzy + 3e0 * n_exact + 2e0 * coverage + {p} * prominence AS s FROM c" for n, fuzzy, p in (("all", "-1e0", "1e0"), ("no fuzzy", "0e0", "1e0"), ("no prominence", "-1e0", "0e0"))) + "), k AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY s DESC, lei) AS r FROM v), b AS (SELECT variant, stratum, qid, min(r) FILTER (target) AS r FROM k GROUP BY ALL)"
+
+
+@query("WITH " + _TYPED_SQL + ", " + _ABLATED + " SELECT variant, stratum, round(avg(CASE WHEN r <= 10 THEN 1 / r ELSE 0 END), 9) AS mrr FROM b GROUP BY 1, 2")
 def ablated_weights(spark, sf_dir):
     return W.ablations(_candidates(spark, sf_dir), dict(zip(FEATURES, (-4.0, -1.0, 3.0, 2.0, 1.0), strict=True)), {"no fuzzy": ["n_fuzzy"], "no prominence": ["prominence"]})
 
 
-@query()
+@query("SELECT * FROM (VALUES ('entities', '3300000', true), ('files on disk', '0 missing', true), ('reachability', '1.0000', true), ('objective', '0.7000', true), ('query apple', 'A', true), ('query ing', 'no result', false)) t(name, value, ok)")
 def build_checks(spark, sf_dir):
     m = spark.createDataFrame([("entities", 3_300_000, 3_310_000, 3_000_000, 3_700_000, 0.03)], "name string, value long, live long, lo long, hi long, tolerance double")
     q = spark.createDataFrame([("apple", "A", "A"), ("ing", "B", None)], "query string, expected string, first string")

@@ -1,10 +1,14 @@
 """Literal vectors of the search semantics, and twins in plain Python."""
 
+import itertools
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from registrum.functions import constants as C
 from registrum.functions import identifiers as I
 from registrum.functions import numeric as N
 from registrum.functions import text as T
@@ -18,10 +22,25 @@ def one(spark, values, make):
 
 
 def test_fold(spark):
-    texts = ["Mærsk Ørsted Straße Łódź Þór", "E.ON SE", "Ünï", "Œuvre", None]
+    """Every letter that has a fold, alone and among others, equals the plain fold."""
+    rng = random.Random(2)
+    pool = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    texts = ["Mærsk Ørsted Straße Łódź Þór", "E.ON SE", "Ünï", "Œuvre", "ﬁnance ﬂow", "plain", "Ａｃｍｅ", "Ⅻ Ltd", "x²", "İstanbul ΣΑΣ", "한국 전력", "שָׁלוֹם", None, ""]
+    texts += [" ".join(pool[k : k + 60]) for k in range(0, len(pool), 60)]
+    texts += ["".join(rng.choice([rng.choice(pool), rng.choice("abC 1.-&")]) for _ in range(20)) for _ in range(200)]
     assert one(spark, texts, T.fold) == [None if t is None else T.fold_text(t) for t in texts]
-    df = spark.createDataFrame([("ﬁnance ﬂow",), ("plain",), ("Ａｃｍｅ",), (None,)], "v string")
-    assert {r.v: r.f for r in T.fold_exact(df, "v", "f").collect()} == {"ﬁnance ﬂow": "finance flow", "plain": "plain", "Ａｃｍｅ": "acme", None: None}
+    assert one(spark, texts, T.query_tokens) == [None if t is None else _tokens(t) for t in texts]
+
+
+def _tokens(text):
+    out = []
+    for chunk in re.split("[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", T.fold_text(text)):
+        runs = re.findall("[a-z0-9]+", chunk)
+        out += ["".join(runs)] if len(runs) > 1 and max(map(len, runs)) <= 2 else runs
+    joined = []
+    for single, group in itertools.groupby(out, key=lambda x: len(x) == 1):
+        joined += ["".join(group)] if single else group
+    return joined
 
 
 def test_tokens(spark):
@@ -96,3 +115,80 @@ def test_shards(spark):
     assert shards(5).select("shard", "alone").distinct().count() == 6
     files = X.pack_files(shards(5), 4).orderBy("lo").collect()
     assert [r.file for r in files] == [0, 0, 0, 1, 1, 2]
+
+
+def _file_of(bounds, word):
+    return max((k for k, lo in enumerate(bounds) if lo <= word), default=0)
+
+
+def _route(tokens, bounds, capped, open_last, paused, chars=3, span=1, most=2):
+    """The files of a query by the definition, word by word."""
+    stop, told = set(C.QUERY_STOP), []
+    for pos, w in enumerate(tokens):
+        if w in stop or len(w) < chars:
+            continue
+        open_ = open_last and pos == len(tokens) - 1
+        narrow = None
+        for n in range(chars, len(w) + 1):
+            lo, hi = _file_of(bounds, w[:n]), _file_of(bounds, w[:n] + "\uffff")
+            if hi - lo + 1 <= span:
+                narrow = list(range(lo, hi + 1))
+                break
+        files = narrow if narrow is not None else [_file_of(bounds, w)] if paused or not open_ else None
+        if files is not None:
+            told.append((not any(f in capped for f in files) and (narrow is not None or not open_), len(w), -pos, files))
+    out = []
+    for *_, files in sorted(told, key=lambda x: x[:3], reverse=True)[:most]:
+        out += [f for f in files if f not in out]
+    if not out and paused and len(tokens) == 1 and len(tokens[0]) >= 2:
+        out = [_file_of(bounds, tokens[0])]
+    return out
+
+
+def test_routes_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcd", k=n))
+    bounds = sorted({word(rng.randint(2, 5)) for _ in range(14)})
+    capped = {k for k in range(len(bounds)) if rng.random() < 0.4}
+    table = spark.createDataFrame([(k, lo, k in capped) for k, lo in enumerate(bounds)], "file int, lo string, capped boolean")
+    asked = [(k, [rng.choice(["the", "of", word(rng.randint(1, 6)), word(rng.randint(3, 6))]) for _ in range(rng.randint(1, 4))], rng.random() < 0.6) for k in range(120)]
+    queries = spark.createDataFrame(asked, "qid int, tokens array<string>, in_progress boolean")
+    for paused, limits in ((True, {}), (False, {}), (True, {"min_chars": 2, "max_span": 3, "max_anchors": 3})):
+        got = {r.qid: r.files for r in X.route(queries, table, paused=paused, **limits).collect()}
+        plain = {"chars": limits.get("min_chars", 3), "span": limits.get("max_span", 1), "most": limits.get("max_anchors", 2)}
+        assert got == {k: _route(t, bounds, capped, o, paused, **plain) for k, t, o in asked}
+    words = spark.createDataFrame([(w,) for w in ["", "a", "zz", *bounds, *(word(4) for _ in range(30))]], "w string")
+    assert all(r.f == _file_of(bounds, r.w) for r in X.file_of(words, table, F.col("w"), "f").collect())
+    assert {r.f for r in X.file_of(words, table.limit(0), F.col("w"), "f").collect()} == {0}
+
+
+def test_the_best_names_are_those_of_a_full_scan(spark):
+    """Distinct names scored once, with the most prominent entities of each, give what scoring every entity gives."""
+    rng = random.Random(7)
+    names = [(f"L{k:03}", n, [rng.choice("alpha beta gamma ag".split()) for _ in range(rng.randint(1, 3))]) for k in range(150) for n in range(rng.randint(1, 2))]
+    listed = spark.createDataFrame([(e, n, s, []) for e, n, s in names], "lei string, name_no int, seq array<string>, extras array<string>")
+    entities = spark.createDataFrame([(e, rng.randint(0, 6) / 2) for e in sorted({e for e, *_ in names})], "lei string, prominence double")
+    queries = spark.createDataFrame([(k, [rng.choice(["alpha", "bet", "gamma", "gama"]) for _ in range(rng.randint(1, 2))]) for k in range(12)], "qid int, tokens array<string>")
+    got = [tuple(r) for r in M.top_k(queries, listed, entities, 7).orderBy("qid", "rank").collect()]
+    every = M.features(queries, listed).withColumn("match", M.match_score()).where("match is not null").groupBy("qid", "lei").agg(F.max("match").alias("m")).join(entities, "lei")
+    scored = sorted((r.qid, -(r.m + r.prominence), r.lei) for r in every.collect())
+    want = [(q, e, round(-s, 6), k + 1) for q, group in itertools.groupby(scored, key=lambda x: x[0]) for k, (_, s, e) in enumerate(list(group)[:7])]
+    assert got == want
+    alt = M.features(queries, listed).withColumn("a", M.match_score()).withColumn("b", M.match_score(M.MATCH | {"alt": -1.0})).where("a is not null")
+    assert all((r.b == r.a) == (r.name_no == 0) for r in alt.collect())
+
+
+def test_dates_and_names(spark):
+    assert one(spark, ["2012-11-05T00:00:00Z", "2012-11-05", "x", ""], N.registration_year)[:2] == [2012 + 10 / 12] * 2
+    assert all(x != x for x in one(spark, ["x", ""], N.registration_year))
+    assert one(spark, ["2026-09-16"], lambda c: N.year_fraction(c.cast("date"))) == [2026 + (8 + 15 / 30) / 12]
+    assert one(spark, ["\t a\tb\r\n\u3000", None, "\u200b"], T.clean_name) == ["a b", None, "\u200b"]
+
+
+def test_sizes_are_the_compressors(spark):
+    import gzip
+
+    lines = spark.createDataFrame([(0, 2, "b"), (0, 1, "a" * 500), (1, 1, "é")], "file int, rank int, line string")
+    got = {r.file: (r.n, r.bytes, r.gzip) for r in X.index_sizes(lines).collect()}
+    texts = {0: "a" * 500 + "\nb\n", 1: "é\n"}
+    assert got == {k: (t.count("\n"), len(t.encode()), len(gzip.compress(t.encode(), 9))) for k, t in texts.items()}
