@@ -1,7 +1,10 @@
 """Typing sessions: pauses, newest inputs, settled searches and rate limits, over tables of events and as streams."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def _after(session: str, at: str, tie: str) -> Column:
@@ -50,3 +53,61 @@ def pauses_by_kind(events: DataFrame, session: str, at: str, tie: str, kind: str
     for name, gap in gaps.items():
         wait = F.when(F.col(kind) == name, F.expr(f"INTERVAL {gap}")).otherwise(wait)
     return events.withColumn("next_", nxt).where(F.col("next_").isNull() | (F.col("next_") > F.col(at) + wait)).drop("next_")
+
+
+def stream_newest(events: DataFrame, session: str, at: str, tie: str, value: str) -> DataFrame:
+    """A stream's newest value of each session, as newest() tells it: stale ones that come late change nothing. For update or complete
+    mode."""
+    return events.groupBy(session).agg(F.max_by(value, F.struct(at, tie)).alias(value))
+
+
+def stream_settled(events: DataFrame, session: str, at: str, tie: str, key: str, gap: str, acted: Column, late: str) -> DataFrame:
+    """A stream's (session, key) of settled(), each once: the last event of every run that the gap ends, once the watermark has passed, and
+    at once what was acted on. The key is folded by whoever calls, so that one text counts once however it is typed."""
+    timed = events.withWatermark(at, late)
+    runs = timed.groupBy(session, F.session_window(at, gap).alias("w")).agg(F.max_by(key, F.struct(at, tie)).alias(key))
+    done = runs.select(session, key).unionByName(timed.where(acted).select(session, key))
+    return done.dropDuplicates([session, key])
+
+
+def _remembering(events: DataFrame, by: list[str], at: str, tie: str, out: str, state: str, step) -> DataFrame:
+    """events with a boolean column that step(state value, time in seconds, row) tells with the next state value; one value a group is
+    kept between batches, and the events of a batch are taken by time."""
+    schema = StructType([*events.schema.fields, StructField(out, BooleanType())])
+    names = events.columns
+
+    def run(_, frames, held):
+        value = held.get[0] if held.exists else None
+        rows = pd.concat(list(frames)).sort_values([at, tie], kind="stable")
+        told = []
+        for row in rows.to_dict("records"):
+            value, answer = step(value, row[at].timestamp(), row)
+            told.append(answer)
+        if value is not None:
+            held.update((value,))
+        yield rows[names].assign(**{out: told})
+
+    return events.groupBy(*by).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_held(events: DataFrame, session: str, at: str, tie: str, limited: str, hold: float) -> DataFrame:
+    """A stream's events with held, as held() tells it: before the end of a hold of `hold` seconds that an earlier event with the flag
+    `limited` began. A session's state is the end of its hold."""
+
+    def step(until, now, row):
+        answer = until is not None and now < until
+        end = now + hold if row[limited] else None
+        return max((x for x in (until, end) if x is not None), default=None), answer
+
+    return _remembering(events, [session], at, tie, "held", "until double", step)
+
+
+def stream_unexpired(events: DataFrame, session: str, key: str, at: str, tie: str, ttl: float) -> DataFrame:
+    """A stream's events with hit: whether an answer for the key that the session fetched less than ttl seconds before was there; a use
+    does not prolong it. The state of a key is when it was last fetched."""
+
+    def step(fetched, now, _):
+        hit = fetched is not None and now < fetched + ttl
+        return (fetched if hit else now), hit
+
+    return _remembering(events, [session, key], at, tie, "hit", "fetched double", step)
