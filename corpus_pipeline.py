@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.llm import bpe, decontam, langid, minhash, secrets
-from registrum.llm._shared import bounded, scratch, staged, table, unused
+from registrum.llm._shared import bounded, scratch, small_batches, staged, table, unused
 
 #: A document stays if this share of its letters is in one language that the model knows.
 LEAST_SHARE = 0.4
@@ -15,6 +15,7 @@ LEAST_SHARE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, without text, or without one language that most letters are in, go. A null lang is filled in. Rows are
     judged one by one: repeated rows and null ids stay as they are. An empty table, or one without labels, gives an empty table."""
+    small_batches(spark)
     lang, score = unused(docs, "lang_pred"), unused(docs, "score")
     told = langid.labelled(docs, langid.learn(docs), lang=lang, score=score)
     good = told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SHARE))
@@ -24,12 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal and near-equal documents the one row with the least doc_id (null last) stays. Null texts stay; empty texts
     are equal to each other; an empty table stays empty."""
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go, told by doc_id and text, so that a clean row that shares the id of another stays.
     Null and empty texts have no words and stay; repeated rows go or stay together; with an empty benchmark or no documents none goes."""
+    small_batches(spark)
     its_id, its_key = unused(docs, "its_id"), unused(docs, "its_key")
     with scratch(spark) as keep:
         found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -40,11 +43,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are marked out of the texts, whose n_chars then follow; every row stays, null and empty texts as they are."""
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row that is left; a null text is encoded as an empty one."""
+    small_batches(spark)
     return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 

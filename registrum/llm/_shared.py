@@ -90,7 +90,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of texts that go to a Python worker at once: with the ten thousand that suit numbers, two tasks of an executor hold as much
+#: again as its workers need.
+BATCH = 2_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session gives Python workers at most BATCH rows at once."""
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH:
+        spark.conf.set(_BATCH_ROWS, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
