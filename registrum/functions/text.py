@@ -77,7 +77,7 @@ def fold(text: Column) -> Column:
     up and replaced, each once, and the others translated. Equal to fold_text for every text."""
     source, target, several = _fold_tables()
     met = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class(list(several))), F.lit(0)))
-    spelled = F.array(*map(F.lit, several.values()))
+    spelled = F.split(F.lit("\0".join(several.values())), "\0")  # one literal: a tree of a thousand would be walked by every rule
     wide = F.aggregate(met, text, lambda a, c: F.replace(a, c, F.get(spelled, F.position(c, F.lit("".join(several))) - 1)))
     wide = F.when(text.rlike(f"[\\x{{{_HANGUL:X}}}-\\x{{{_HANGUL + 11171:X}}}]"), _spelled(wide)).otherwise(wide)
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.lower(F.translate(wide, source, target)))

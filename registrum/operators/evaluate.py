@@ -16,6 +16,16 @@ def quality(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.round(mrr, 9).alias("mrr"), F.round(hit(1), 9).alias("s1"), F.round(hit(5), 9).alias("s5"), F.round(hit(10), 9).alias("s10"))
 
 
+def pooled_quality(ranks: DataFrame, lenient: DataFrame, pool: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
+    """(stratum, in_pool, lenient) of ranks (qid, stratum, rank): the share of queries one of whose targets (qid, lei) is among what their
+    files hold (pool: qid, lei), and the mean reciprocal rank if a target's neighbours count as well (lenient: qid, rank)."""
+    held = targets.join(pool.select("qid", "lei").distinct(), ["qid", "lei"], "left_semi").select("qid").distinct().withColumn("held", F.lit(1.0))
+    best = lenient.groupBy("qid").agg(F.min("rank").alias("other"))
+    met = ranks.join(held, "qid", "left").join(best, "qid", "left")
+    first = F.least(F.col("rank"), F.col("other"))
+    return met.groupBy("stratum").agg(F.round(F.avg(F.coalesce("held", F.lit(0.0))), 9).alias("in_pool"), F.round(F.avg(F.when(first <= k, 1 / first).otherwise(0.0)), 9).alias("lenient"))
+
+
 def objective(measures: DataFrame) -> DataFrame:
     """The mean of the strata's reciprocal ranks, each stratum alike."""
     return measures.agg(F.round(F.avg("mrr"), 9).alias("objective"))

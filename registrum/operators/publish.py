@@ -40,3 +40,12 @@ def blocking_checks(metrics: DataFrame, build: dict, queries: DataFrame, config:
     single = [("files on disk", f"{len(build['missing'])} missing", not build["missing"]), ("reachability", f"{reach:.4f}", reach >= config["reachability"]), ("objective", "not measured" if objective is None else f"{objective:.4f}", good)]
     fixed = queries.select(F.concat(F.lit("query "), "query").alias("name"), F.coalesce("first", F.lit("no result")).alias("value"), F.coalesce(F.col("first") == F.col("expected"), F.lit(False)).alias("ok"))
     return bounds.unionByName(spark.createDataFrame(single, "name string, value string, ok boolean")).unionByName(fixed)
+
+
+def check_table(checks: DataFrame) -> DataFrame:
+    """(table): checks (name, value, ok) as one Markdown table, failed ones first, then by name. A build has some dozens of checks."""
+    told = F.when(F.col("ok"), "ok").otherwise("FAILED")
+    cell = lambda c: F.regexp_replace(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\r\n", "  "), r"\|", r"\\|")
+    rows = F.sort_array(F.collect_list(F.struct("ok", "name", F.concat(F.lit("| "), cell("name"), F.lit(" | "), cell("value"), F.lit(" | "), told, F.lit(" |")).alias("line"))))
+    head = F.array(F.lit("| check | value | result |"), F.lit("| - | - | - |"))
+    return checks.agg(F.array_join(F.concat(head, F.transform(rows, lambda r: r["line"])), "\n").alias("table"))

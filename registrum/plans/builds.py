@@ -386,3 +386,36 @@ def packed_by_words(spark, sf_dir):
 def without_stratum(spark, sf_dir):
     """The measures of a slice, here of all strata but one."""
     return V.quality(_ranks(spark, sf_dir).where("stratum <> 'head'")).select("stratum", "n", "mrr", "s10")
+
+
+@query("SELECT 'elf' AS list, CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'ra', CAST(r_regionkey AS VARCHAR), r_name FROM region")
+def read_codes(spark, sf_dir):
+    """Code lists written as an index's document and read back."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.col("n_name")).alias("name"))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name"))
+    listed = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct("code", "name"))).alias("codes"))
+    document = listed(n).select(F.col("codes").alias("elf")).crossJoin(listed(r).select(F.col("codes").alias("ra"))).select(F.to_json(F.struct("elf", "ra")).alias("value"))
+    from registrum.session import shared_path
+
+    path = shared_path(spark, "codes")
+    document.coalesce(1).write.text(path)
+    return S.read_codes(spark, path)
+
+
+@query("WITH RECURSIVE " + _FILES + "," + _TYPED_SQL + "," + _route_sql(True) + ", " + _TARGETS + f""", {_POOL_SQL}, asked AS (SELECT qid, stratum, min(rank) AS rank FROM targets LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (qid, lei) GROUP BY ALL),
+near AS (SELECT qid, min(rank) AS other FROM (SELECT qid, lei + d AS lei FROM targets, (VALUES (-1), (1)) v(d)) JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (qid, lei) GROUP BY 1), held AS (SELECT DISTINCT qid FROM targets JOIN pool USING (qid, lei))
+SELECT stratum, round(avg(CASE WHEN held.qid IS NULL THEN 0e0 ELSE 1e0 END), 9) AS in_pool, round(avg(CASE WHEN least(rank, other) <= 10 THEN 1e0 / least(rank, other) ELSE 0e0 END), 9) AS lenient FROM asked LEFT JOIN near USING (qid) LEFT JOIN held USING (qid) GROUP BY 1""")
+def pooled_quality(spark, sf_dir):
+    capped, files = _capped(spark, sf_dir)
+    targets = _targets(spark, sf_dir)
+    pool = X.candidates(X.route(_typed(spark, sf_dir), X.bounds(files, capped)), capped)
+    hits = _hits(spark, sf_dir, 50)
+    beside = targets.select("qid", F.explode(F.array(F.col("lei") - 1, F.col("lei") + 1)).alias("lei")).join(hits.select("qid", "lei", "rank"), ["qid", "lei"])
+    return V.pooled_quality(V.target_ranks(hits, targets), beside, pool, targets)
+
+
+@query("SELECT '| check | value | result |' || chr(10) || '| - | - | - |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | ' || CASE WHEN n_regionkey > 1 THEN 'ok' ELSE 'FAILED' END || ' |', chr(10) ORDER BY n_regionkey > 1, n_name) AS \"table\" FROM nation")
+def check_table(spark, sf_dir):
+    from registrum.operators.publish import check_table as told
+
+    return told(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value"), (F.col("n_regionkey") > 1).alias("ok")))

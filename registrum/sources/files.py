@@ -106,3 +106,42 @@ def _gzip_sizes(texts):
     import gzip
 
     return texts.map(lambda t: len(gzip.compress(t.encode(), 6)))
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(list, code, name) of an index's code lists, a JSON object of objects; blank names go, and a list that is no object has none."""
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("lists"))
+    listed = held.select(F.explode("lists").alias("list", "codes")).select("list", F.explode("codes").alias("code", "name"))
+    return listed.where(F.trim(F.coalesce("name", F.lit(""))) != "")
+
+
+def write_weights(path: str, weights: dict[str, float], known: dict[str, float]) -> dict[str, float]:
+    """The known weights with those fitted in their places, written as one JSON object in order of their names; fails on a weight that is
+    unknown or no number. What a scorer reads at its start."""
+    import json
+    import math
+    from pathlib import Path
+
+    wrong = [n for n, x in weights.items() if n not in known or not math.isfinite(x)]
+    if wrong:
+        raise ValueError(f"no such weights: {', '.join(sorted(wrong))}")
+    out = known | weights
+    part = Path(path).with_suffix(".part")
+    part.write_text(json.dumps(out, sort_keys=True) + "\n")
+    part.replace(path)
+    return out
+
+
+def read_build(spark: SparkSession, root: str, attempts: int = 3) -> tuple[str, DataFrame]:
+    """The build that a folder's manifest names, and its lines (file, value): of one build only. If its files are gone, since another was
+    published, the manifest is read again."""
+    from pyspark.errors import AnalysisException
+
+    build = None
+    for _ in range(attempts):
+        build = spark.read.schema(MANIFEST).json(f"{root}/index.json", multiLine=True).first()["build"]
+        try:
+            return build, spark.read.text(f"{root}/{build}")
+        except AnalysisException:
+            continue
+    raise FileNotFoundError(f"{root} names build {build}, which isn't there")

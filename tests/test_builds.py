@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import render as R
-from registrum.functions import text as T
 from registrum.operators import build as B
 from registrum.operators import entities as E
 from registrum.operators import evalsets as S
@@ -130,4 +129,18 @@ def test_research(spark):
     assert route("first") == {1: [0], 2: [2]} and route("longest") == {1: [0], 2: [2]} and route("merged") == {1: [0, 1, 2], 2: [2]}
     with pytest.raises(ValueError, match="no router"):
         Q.route_words(q, table, "x")
-    assert T is not None
+
+
+def test_weights_and_builds(spark, tmp_path):
+    assert files.write_weights(str(tmp_path / "w.json"), {"a": 2.0}, {"b": 1.0, "a": 1.0}) == {"a": 2.0, "b": 1.0}
+    assert (tmp_path / "w.json").read_text() == '{"a": 2.0, "b": 1.0}\n'
+    for bad in ({"c": 1.0}, {"a": float("nan")}):
+        with pytest.raises(ValueError, match="no such weights"):
+            files.write_weights(str(tmp_path / "w.json"), bad, {"a": 1.0})
+    (tmp_path / "index.json").write_text(json.dumps({"format": 1, "build": "b2"}))
+    with pytest.raises(FileNotFoundError, match="b2"):
+        files.read_build(spark, str(tmp_path))
+    (tmp_path / "b2" / "file=0").mkdir(parents=True)
+    (tmp_path / "b2" / "file=0" / "x.txt").write_text("line\n")
+    build, lines = files.read_build(spark, str(tmp_path))
+    assert build == "b2" and [(r.file, r.value) for r in lines.collect()] == [(0, "line")]
