@@ -98,6 +98,12 @@ def best_items(items: DataFrame) -> DataFrame:
     return items.groupBy("lei").agg(F.max_by("qid", F.struct(links, -F.substr("qid", F.lit(2)).try_cast("long"))).alias("qid"))
 
 
+def halved(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """rows, told apart by their keys, with split: the first half of them in the order given is train, the rest test."""
+    first = rows.orderBy(*order).limit(rows.count() // 2).select(*keys, F.lit("train").alias("split"))
+    return rows.join(first, keys, "left").withColumn("split", F.coalesce("split", F.lit("test")))
+
+
 def head(items: DataFrame, n: int, seed: str, most_aliases: int) -> DataFrame:
     """(qid, query, kind, leis, split): labels of the n items (qid, lei, label, aliases, links) with most links whose label is a name, and
     up to most_aliases of their other names; n and most_aliases are the set's size."""
@@ -105,8 +111,7 @@ def head(items: DataFrame, n: int, seed: str, most_aliases: int) -> DataFrame:
     by = own.groupBy("qid").agg(F.max(F.coalesce(F.col("links").try_cast("int"), F.lit(0))).alias("links"), F.max("label").alias("label"), F.first("aliases").alias("aliases"), F.sort_array(F.collect_set("lei")).alias("leis"))
     good = by.where((F.coalesce(F.col("label"), F.lit("")) != "") & ~is_code(F.col("label")))
     top = good.orderBy(F.col("links").desc(), F.substr("qid", F.lit(2)).try_cast("long")).limit(n)
-    half = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_rank(F.get("leis", F.lit(0)), seed)))
-    top = top.withColumn("split", F.when(half <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / 2), "train").otherwise("test"))
+    top = halved(top, ["qid"], [hash_rank(F.get("leis", F.lit(0)), seed), F.col("qid")])
     labels = top.select("qid", F.col("label").alias("query"), F.lit("label").alias("kind"), "leis", "split")
     spoken = lambda c: F.array_join(T.query_tokens(c), " ")
     others = top.select("qid", "leis", "split", "label", F.explode("aliases").alias("query")).withColumn("key_", spoken(F.col("query")))
@@ -163,6 +168,5 @@ def acronyms(queries: DataFrame, taken: DataFrame, entities: DataFrame, seed: st
     kept = queries.join(ids.join(taken.select("lei"), "lei", "left_semi").select("query"), "query", "left_anti")
     met = kept.select("query", "lei").join(entities.select("lei", "name", "entity_status"), "lei", "left")
     sound = F.when(F.col("entity_status") == "ACTIVE", F.col("name")).otherwise(F.raise_error(F.concat_ws(" ", "query", "lei", F.coalesce("entity_status", F.lit("is not in the copy")))))
-    w = Window.partitionBy(F.lit(0))
-    nth = F.row_number().over(w.orderBy(hash_rank(F.col("lei"), seed), "lei"))
-    return met.select("query", "lei", sound.alias("name"), F.when(nth <= F.floor(F.count(F.lit(1)).over(w) / 2), "train").otherwise("test").alias("split"))
+    told = met.select("query", "lei", sound.alias("name"))
+    return halved(told, ["query", "lei"], [hash_rank(F.col("lei"), seed), F.col("lei"), F.col("query")])
