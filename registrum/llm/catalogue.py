@@ -94,13 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SPACE, _WORDS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
-_OP2 = """
-WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size FROM documents),
-placed AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS nth FROM sized),
-cut AS (SELECT doc_id, size, CAST(least(15, (start * 16) // total) AS INTEGER) AS shard, nth FROM placed)
-SELECT doc_id, size, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
-"""
-
 _OP5 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY 1)

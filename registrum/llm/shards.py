@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registrum.llm._shared import staged
+from registrum.llm._shared import scratch, staged, unused
 
 
 def text_size(text: Column) -> Column:
@@ -45,8 +45,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, *, key: str = "doc_id",
     return shard_contiguous(rows, n_shards, order=(key,))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, *, key: str = "doc_id") -> DataFrame:
-    """The documents themselves, written under path in a folder for each shard; returns the plan of shards."""
-    plan = staged(shard_documents(docs, n_shards, key=key).dropDuplicates([key]), "plan")
-    docs.join(plan.select(key, "shard", "slot"), key).repartition("shard", (F.col("slot") / 100_000).cast("int")).write.partitionBy("shard").parquet(path)
-    return plan
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, *, key: str = "doc_id", text: str = "text", slots: int = 100_000) -> DataFrame:
+    """The documents themselves, written under path in a folder for each shard and a file for each `slots` slots; returns the plan
+    (key, size, shard, slot). Every row is written once with all its columns, null and repeated keys among them; a column of docs named
+    shard keeps its name, and the folders' column takes another."""
+    row, shard, slot = (unused(docs, c) for c in ("row", "shard", "slot"))
+    with scratch(docs.sparkSession) as keep:
+        held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        plan = shard_contiguous(held.select(key, F.col(row).alias("row_"), text_size(F.col(text)).alias("size")), n_shards, order=(key, "row_"))
+        plan = keep(staged(plan, "plan"))
+        placed = held.join(plan.select(F.col("row_").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot)), row)
+        placed.repartition(shard, (F.col(slot) / slots).cast("int")).drop(row, slot).write.partitionBy(shard).parquet(path)
+    return plan.drop("row_")

@@ -83,6 +83,17 @@ def test_crc_of_shards(spark):
     assert [out[k] for k in range(4)] == [zlib.crc32((t or "").encode()) for t in texts]
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "c" * 50), (3, "d")]
+    d = table(spark, rows).withColumn("shard", F.lit("own"))
+    plan = shards.write_shards(d, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    key = lambda r: (str(r.doc_id), str(r.text), r.shard)
+    assert sorted(map(key, back.collect())) == sorted((str(k), str(t), "own") for k, t in rows) and set(back.columns) == {*d.columns, "shard_"}
+    count = lambda df, c: sorted((r[0], r[1]) for r in df.groupBy(c).count().collect())
+    assert count(plan, "shard") == count(back, "shard_") and plan.count() == len(rows)
+
+
 # ---- the pipeline
 
 
