@@ -7,9 +7,10 @@ from registrum.operators import evaluate as V
 from registrum.operators import index as X
 from registrum.operators import match as M
 from registrum.plans import tables
-from registrum.plans.catalogue import _TARGETS, _TYPED_SQL, _targets, _typed
+from registrum.plans.catalogue import _TARGETS, _TYPED_SQL, _by_text, _targets, _typed
 from registrum.plans.registry import query
 from registrum.plans.tables import table
+from registrum.session import staged
 from registrum.streaming import sessions
 
 
@@ -18,16 +19,14 @@ def stand_in_prominence(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", N.stand_in_prominence(F.col("c_custkey")).alias("prominence"))
 
 
-def _scored(spark, sf_dir):
-    names = tables.parts(spark, sf_dir)
-    found = M.features(_typed(spark, sf_dir), names).withColumn("match", M.match_score()).where("match IS NOT NULL").groupBy("qid", "lei").agg(F.max("match").alias("match"))
-    return found.join(names.select("lei", "prominence"), "lei")
-
-
 @query("WITH " + _TYPED_SQL + f", {_TARGETS} SELECT qid, lei, rank FROM targets LEFT JOIN hits USING (qid, lei)")
 def target_rank(spark, sf_dir):
-    scored = _scored(spark, sf_dir).select("qid", "lei", (F.col("match") + F.col("prominence")).alias("score"))
-    return V.rank_of_target(scored, _targets(spark, sf_dir).select("qid", "lei"))
+    typed, names = staged(_typed(spark, sf_dir), "typed"), staged(tables.parts(spark, sf_dir), "names")
+    owners = staged(M.owners(names), "owners")
+    found = M.text_features(typed, names).withColumn("match", M.match_score()).where("match IS NOT NULL")
+    scored = found.join(owners.select("shape", "prominence").distinct(), "shape").select("text", "shape", "prominence", (F.col("match") + F.col("prominence")).alias("score"))
+    targets = _targets(spark, sf_dir).select("qid", "lei").join(typed.select("qid", M.query_text().alias("text")), "qid", "left")
+    return V.rank_of_owner(staged(scored, "scored"), owners, targets)
 
 
 _STROKES = "WITH n AS (SELECT o_custkey AS qid, min(CASE WHEN r <= 5 THEN k END) AS top5, min(CASE WHEN r <= 1 THEN k END) AS top1, min(CASE WHEN r <= 5 THEN k END) / max(k) AS share FROM (SELECT o_custkey, o_orderkey % 50 + 1 AS k, o_orderkey % 23 + 1 AS r FROM orders) GROUP BY 1) "
@@ -51,7 +50,9 @@ def keystroke_summary(spark, sf_dir):
 
 @query("WITH " + _TYPED_SQL + ", e AS (SELECT p.name AS precision, qid, lei, match + CASE WHEN p.step = 0 THEN prominence ELSE floor(prominence / p.step + 0.5e0) * p.step END AS s FROM scored, (VALUES ('full', 0.0::DOUBLE), ('half', 0.5::DOUBLE), ('one', 1.0::DOUBLE)) p(name, step)) SELECT precision, qid, arg_min(lei, (-s, lei)) AS lei FROM e GROUP BY 1, 2")
 def precision_study(spark, sf_dir):
-    return V.first_by_precision(_scored(spark, sf_dir), {"full": 0.0, "half": 0.5, "one": 1.0})
+    texts, found = _by_text(spark, sf_dir)
+    best = V.first_by_precision(found.withColumn("match", M.match_score()).where("match IS NOT NULL"), {"full": 0.0, "half": 0.5, "one": 1.0})
+    return best.withColumnRenamed("qid", "text").join(texts, "text").select("precision", "qid", "lei")
 
 
 def _lines(spark, sf_dir):
