@@ -16,17 +16,22 @@ def _score(names: list[str], w: np.ndarray) -> Column:
     return sum((F.col(n) * F.lit(float(x)) for n, x in zip(names, w, strict=True)), F.lit(0.0))
 
 
+def _times(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(1)
+
+
 def prepare(candidates: DataFrame, features: list[str]) -> DataFrame:
     """Candidates (qid, stratum, lei, target, features, score) as a design: one entity of each query is the target, the best-scoring
-    (then least) of those marked; queries without one are left out; strata weigh alike whatever their size, with mean 1."""
+    (then least) of those marked; queries without one are left out; strata weigh alike whatever their size, with mean 1. A column n tells of how many entities with
+    the same features a row (with the least lei) stands for, a column times for how many queries with the same candidates."""
     order = Window.partitionBy("qid").orderBy(F.col("target").desc(), F.col("score").desc(), "lei")
-    chosen = candidates.withColumn("hit", (F.row_number().over(order) == 1) & F.col("target"))
-    good = chosen.where("hit").select("qid", "stratum")
-    sizes = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_"))
+    chosen = candidates.withColumns({c: _times(candidates, c) for c in ("n", "times")}).withColumn("hit", (F.row_number().over(order) == 1) & F.col("target"))
+    good = chosen.where("hit").select("qid", "stratum", "times")
+    sizes = good.groupBy("stratum").agg(F.sum("times").alias("n_"))
     # queries of a stratum weigh queries / (strata * queries of the stratum)
     queries, strata = sizes.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.count(F.lit(1))).first()
     weights = sizes.select("stratum", (F.lit(float(queries)) / (F.lit(float(max(strata, 1))) * F.col("n_"))).alias("weight"))
-    return chosen.join(good.select("qid"), "qid", "left_semi").join(weights, "stratum").select("qid", "hit", "weight", *(F.col(f).cast("double").alias(f) for f in features))
+    return chosen.join(good.select("qid"), "qid", "left_semi").join(weights, "stratum").select("qid", "hit", "weight", "n", "times", *(F.col(f).cast("double").alias(f) for f in features))
 
 
 def loss_terms(design: DataFrame, features: list[str], w: np.ndarray, strength: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -35,11 +40,12 @@ def loss_terms(design: DataFrame, features: list[str], w: np.ndarray, strength:
     k = len(features)
     scored = design.withColumn("s_", _score(features, w))
     top = F.max("s_").over(Window.partitionBy("qid"))
-    scored = scored.withColumn("top_", top).withColumn("e_", F.exp(F.col("s_") - F.col("top_")))
+    scored = scored.withColumn("top_", top).withColumn("e_", F.exp(F.col("s_") - F.col("top_")) * _times(design, "n"))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     x = [F.col(f) for f in features]
     by_query = scored.groupBy("qid").agg(
-        F.first("weight").alias("g_"),
+        F.first(F.col("weight") * _times(design, "times")).alias("g_"),
+        F.first(_times(design, "times")).alias("times_"),
         F.sum("e_").alias("z_"),
         F.first("top_").alias("top_"),
         F.sum(F.when(F.col("hit"), F.col("s_"))).alias("hit_"),
@@ -49,7 +55,7 @@ def loss_terms(design: DataFrame, features: list[str], w: np.ndarray, strength:
     )
     mean = [F.col(f"m{i}") / F.col("z_") for i in range(k)]
     row = by_query.agg(
-        F.count(F.lit(1)),
+        F.sum("times_"),
         F.sum(F.col("g_") * (F.col("top_") + F.log("z_") - F.col("hit_"))),
         *(F.sum(F.col("g_") * (mean[i] - F.col(f"t{i}"))) for i in range(k)),
         *(F.sum(F.col("g_") * (F.col(f"c{i}_{j}") / F.col("z_") - mean[i] * mean[j])) for i, j in pairs),
@@ -127,10 +133,12 @@ def search_coordinates(start: dict[str, float], steps: dict[str, float], measure
 
 
 def ablations(candidates: DataFrame, weights: dict[str, float], groups: dict[str, list[str]]) -> DataFrame:
-    """(variant, stratum, mrr): with all weights, and with those of each group at 0. Candidates are scored once for all variants."""
+    """(variant, stratum, mrr): with all weights, and with those of each group at 0. Candidates are scored once for all variants. A column
+    times tells for how many queries with the same candidates a row stands."""
     variants = {"all": []} | groups
     score = lambda off: _score(list(weights), np.array([0.0 if n in off else x for n, x in weights.items()]))
-    out = candidates.select("qid", "stratum", "lei", "target", F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), score(off).alias("s")) for v, off in variants.items()))).alias("v"))
+    out = candidates.select("qid", "stratum", "lei", "target", _times(candidates, "times").alias("times"), F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), score(off).alias("s")) for v, off in variants.items()))).alias("v"))
     ranked = out.withColumn("r_", F.row_number().over(Window.partitionBy("v.variant", "qid").orderBy(F.col("v.s").desc(), "lei")))
-    best = ranked.groupBy(F.col("v.variant").alias("variant"), "stratum", "qid").agg(F.min(F.when(F.col("target"), F.col("r_"))).alias("r_"))
-    return best.groupBy("variant", "stratum").agg(F.round(F.avg(F.when(F.col("r_") <= 10, 1 / F.col("r_")).otherwise(0.0)), 9).alias("mrr"))
+    best = ranked.groupBy(F.col("v.variant").alias("variant"), "stratum", "qid").agg(F.min(F.when(F.col("target"), F.col("r_"))).alias("r_"), F.first("times").alias("times"))
+    gain = F.when(F.col("r_") <= 10, 1 / F.col("r_")).otherwise(0.0)
+    return best.groupBy("variant", "stratum").agg(F.round(F.sum(gain * F.col("times")) / F.sum("times"), 9).alias("mrr"))
