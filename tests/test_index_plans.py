@@ -8,6 +8,19 @@ SF = "/root/testdata/sf0.001"
 #: Most lines of the executed plan. Before the index was staged, the shortest of them, cap_per_file, had 212 on sf0.01.
 MOST = {
     "cap_per_file": 100,
+    "file_of_word": 100,
+    "gap_causes": 100,
+    "route_merged": 100,
+    "route_typing": 100,
+    "routing_grid": 100,
+    "session_cost_summary": 100,
+    "index_problems": 100,
+    "pooled_quality": 100,
+    "route_longest": 100,
+    "route_paused": 100,
+    "routed_search": 200,
+    "session_costs": 100,
+    "routing_table": 100,
 }
 
 
