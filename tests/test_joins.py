@@ -11,9 +11,10 @@ SF = "/root/testdata/sf0.001"
 #: Keys of tables that grow with the input (a distinct name's key, lei in features(), is no long and has no L).
 GROWING = r"BroadcastHashJoin \[(?:lei#\d+L|session#|term#|word#)"
 ROUTED = ["index_problems"]
+SEARCHED = ["gap_causes"]
 
 
-@pytest.mark.parametrize("name", ROUTED)
+@pytest.mark.parametrize("name", ROUTED + SEARCHED)
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
     plans, write = [], session.written
 
@@ -23,6 +24,15 @@ def test_no_broadcast_by_file_size(spark, monkeypatch, name):
 
     monkeypatch.setattr(session, "written", seen)
     plans.append(catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
-    keys = GROWING.replace("(?:", r"(?:qid#|")
+    keys = GROWING if name in SEARCHED else GROWING.replace("(?:", r"(?:qid#|")
     assert len(plans) > 1
     assert not re.findall(keys, "\n".join(plans))
+
+
+def test_alike_queries_are_searched_once(spark):
+    typed, firsts = catalogue._alike(spark, "/root/testdata/sf0.01")
+    rows = typed.collect()
+    texts = {(tuple(r["tokens"]), r["in_progress"]) for r in rows}
+    assert len(texts) < len(rows)
+    assert firsts.count() == len(texts)
+    assert all(r["first"] == min(o["qid"] for o in rows if (o["tokens"], o["in_progress"]) == (r["tokens"], r["in_progress"])) for r in rows)
