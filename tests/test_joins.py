@@ -10,7 +10,7 @@ from registrum.plans import builds, catalogue  # noqa: F401
 SF = "/root/testdata/sf0.001"
 #: Keys of tables that grow with the input (a distinct name's key, lei in features(), is no long and has no L).
 GROWING = r"BroadcastHashJoin \[(?:lei#\d+L|session#|term#|word#)"
-ROUTED = ["index_problems", "route_merged"]
+ROUTED = ["index_problems", "route_merged", "route_typing"]
 SEARCHED = ["gap_causes"]
 
 
