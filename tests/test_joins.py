@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 #: Keys of tables that grow with the input (a distinct name's key, lei in features(), is no long and has no L).
 GROWING = r"BroadcastHashJoin \[(?:lei#\d+L|session#|term#|word#)"
 ROUTED = ["index_problems", "route_merged", "route_typing", "routing_grid", "session_cost_summary", "route_longest", "route_paused"]
-SEARCHED = ["gap_causes", "pooled_quality"]
+SEARCHED = ["gap_causes", "pooled_quality", "routed_search"]
 
 
 @pytest.mark.parametrize("name", ROUTED + SEARCHED)
