@@ -33,7 +33,7 @@ def test_plan_is_short(spark, name):
 
 
 #: What reads the routing table and nothing of the index.
-ROUTED = ["route_typing", "routing_grid", "route_longest"]
+ROUTED = ["route_typing", "routing_grid", "route_longest", "route_paused"]
 
 
 @pytest.mark.parametrize("name", ROUTED)
